@@ -1,21 +1,17 @@
-"""Schemas and stream descriptors."""
+"""Schemas (as DDL text) and stream descriptors."""
 
 from __future__ import annotations
 
 import uuid
 from dataclasses import dataclass, field
 
-from pyspark.sql import types as T
-
-LINE = T.StructType.fromDDL("idx LONG, line STRING")
-WORD_COUNT = T.StructType.fromDDL("word STRING, cnt LONG")
-PERSON = T.StructType.fromDDL("id LONG, name STRING, email STRING, city STRING, ts TIMESTAMP")
-AUCTION = T.StructType.fromDDL(
-    "id LONG, item STRING, seller LONG, category LONG, initial_bid LONG, reserve LONG, ts TIMESTAMP"
-)
-OPERATOR_INSTANCE = T.StructType.fromDDL("operator STRING, instance INT, parallelism INT")
-CHANGELOG = T.StructType.fromDDL("seq LONG, tbl STRING, key STRING, op STRING, value STRING")
-CHANNEL_TABLE = T.StructType.fromDDL("stream STRING, channel INT, queue STRING")
+LINE = "idx LONG, line STRING"
+WORD_COUNT = "word STRING, cnt LONG"
+PERSON = "id LONG, name STRING, email STRING, city STRING, ts TIMESTAMP"
+AUCTION = "id LONG, item STRING, seller LONG, category LONG, initial_bid LONG, reserve LONG, ts TIMESTAMP"
+OPERATOR_INSTANCE = "operator STRING, instance INT, parallelism INT"
+CHANGELOG = "seq LONG, tbl STRING, key STRING, op STRING, value STRING"
+CHANNEL_TABLE = "stream STRING, channel INT, queue STRING"
 
 NATIVE, DURABLE = 0, 1  # channel_type of a row
 
