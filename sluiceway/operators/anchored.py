@@ -27,6 +27,7 @@ from sluiceway.session import written
 
 ARRIVAL_BLOCK_ROWS = 1 << 18
 TIME_BLOCK_MS = 1 << 21
+FAN_IN = 64
 _STEPS_PER_BATCH = 100_000
 _ROWS_PER_BATCH = 10_000
 
@@ -142,9 +143,9 @@ def _numbered(
 
     ``(_ch, _part)`` blocks must have a bounded size and follow ``_seq``. The exchange below feeds
     both passes. A map has at most one step per row of its block, and in time order at most one
-    per millisecond of ``width_ms``; a run of maps is kept to a few million steps by ``fan_in``.
+    per millisecond of ``width_ms``; steps with the same outcome are merged. ``FAN_IN`` maps make
+    a run, and one group walks the runs of a channel, so no group sees the rows themselves.
     """
-    fan_in = int(min(256, max(16, (1 << 22) // width_ms)))
     rows = rows.repartition("_ch", "_part")
     prune = arrival_is_time and carry is None
 
@@ -162,9 +163,8 @@ def _numbered(
             yield pa.RecordBatch.from_pylist(done, _MAP_ARROW)
 
     ordered = rows.sortWithinPartitions("_ch", "_part", "_seq")
-    maps = _in_runs(ordered.mapInArrow(summarise, _MAP_SCHEMA), fan_in)
-    runs = _in_runs(_chain(maps), fan_in)
-    top = _in_runs(_chain(runs), None)
+    maps = _in_runs(ordered.mapInArrow(summarise, _MAP_SCHEMA), FAN_IN)
+    runs = _in_runs(_chain(maps), None)
     if carry is not None:
         carry = carry.select(
             F.col("ch").cast("int").alias("_ch"),
@@ -172,7 +172,7 @@ def _numbered(
             F.coalesce("anchor", F.lit(UNSET)).alias("anchor"),
             F.col("win").alias("opened"),
         )
-    at_part = _entries(maps, _entries(runs, _entries(top, carry)))
+    at_part = _entries(maps, _entries(runs, carry))
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0
@@ -196,7 +196,8 @@ def _numbered(
         F.lit(True).alias("is_closer"),
         F.lit(True).alias("is_anchor"),
     ).schema
-    placed = rows.join(at_part, ["_ch", "_part"]).select(
+    # Every block has an entry; a left join keeps the shared exchange free of null filters.
+    placed = rows.join(at_part, ["_ch", "_part"], "left").select(
         *[rows[c] for c in rows.columns], "anchor", "opened"
     )
     return placed.sortWithinPartitions("_ch", "_part", "_seq").mapInArrow(number, schema)
