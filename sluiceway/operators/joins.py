@@ -47,19 +47,32 @@ def window_join_anchored(
     """
     edges = window_edges(rows, channel, ms, tie, width_ms, carry)
     placed = place_rows(rows, edges, channel, ms, tie, width_ms, carry)
-    closed = closed_windows(edges).withColumnRenamed("_ch", channel)  # one row per channel
-    kept = (
-        placed.where(~F.col("is_closer"))
-        .join(F.broadcast(closed), channel)
-        .where(F.col("win") <= F.col("_closed"))
-    )
+    closed = closed_windows(edges).withColumnRenamed("_ch", channel)
+    inside = placed.where(~F.col("is_closer"))
+    columns = (left_columns, right_columns)
+    return join_placed(inside, closed, (left_kind, right_kind), channel, key, columns)
+
+
+def join_placed(
+    inside: DataFrame,
+    closed: DataFrame,
+    kinds: tuple[str, str],
+    channel: str,
+    key: str,
+    columns: tuple[dict[str, str], dict[str, str]],
+) -> DataFrame:
+    """Join two kinds of placed rows per channel, closed window and key.
+
+    ``closed`` has one row per channel. The filter on the kind reaches the scan of each side.
+    """
+    kept = inside.join(F.broadcast(closed), channel).where(F.col("win") <= F.col("_closed"))
     on = [channel, "win", key]
 
-    def side(kind: str, columns: dict[str, str]) -> DataFrame:
-        chosen = [F.col(c).alias(n) for c, n in columns.items()]
-        return kept.where(F.col("kind") == kind).select(*on, *chosen)
+    def side(kind: str, chosen: dict[str, str]) -> DataFrame:
+        named = [F.col(c).alias(n) for c, n in chosen.items()]
+        return kept.where(F.col("kind") == kind).select(*on, *named)
 
-    return side(left_kind, left_columns).join(side(right_kind, right_columns), on)
+    return side(kinds[0], columns[0]).join(side(kinds[1], columns[1]), on)
 
 
 def key_equality(left: DataFrame, right: DataFrame, left_key: int, right_key: int) -> DataFrame:
