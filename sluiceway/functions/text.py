@@ -11,12 +11,15 @@ def words(text: Column | str) -> Column:
 
     Separators are runs of characters outside ``[a-zA-Z0-9_]``. A separator at the start leaves
     one empty word, separators at the end leave nothing, and the empty text is one empty word.
-    Spark's ``split`` keeps trailing empty strings, so the tail is cut off first.
+    Spark's ``split`` keeps the empty string behind a last separator, so that one is taken off; a
+    text of separators only has then just the empty word before them, which does not count either.
     """
     text = F.col(text) if isinstance(text, str) else text
-    trimmed = F.regexp_replace(F.lower(text), r"\W+$", "")
+    parts = F.split(F.lower(text), r"\W+")
+    ends_open = (F.size(parts) > 1) & (F.element_at(parts, -1) == "")
+    nothing = (F.size(parts) == 2) & (F.element_at(parts, 1) == "")
     return (
-        F.when(text == "", F.array(F.lit("")))
-        .when(trimmed == "", F.array().cast("array<string>"))
-        .otherwise(F.split(trimmed, r"\W+"))
+        F.when(~ends_open, parts)
+        .when(nothing, F.array().cast("array<string>"))
+        .otherwise(F.slice(parts, F.lit(1), F.size(parts) - 1))
     )

@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sluiceway.functions.numbers import floored
 from sluiceway.functions.time import bucket_start
 from sluiceway.operators.window_maps import UNSET, AnchorMap, block_map, replay
 from sluiceway.session import written
@@ -103,7 +104,7 @@ def _chain(maps: DataFrame) -> DataFrame:
 
 def _in_runs(maps: DataFrame, fan_in: int | None) -> DataFrame:
     """Bring runs of ``fan_in`` parts (or all parts of a channel) together, once for all uses."""
-    run = F.lit(0).cast("long") if fan_in is None else F.floor(F.col("_part") / fan_in)
+    run = F.lit(0).cast("long") if fan_in is None else floored(F.col("_part"), fan_in)
     return maps.withColumn("_run", run).repartition("_ch", "_run")
 
 
@@ -222,7 +223,7 @@ def window_edges(
     )
     rows = ticks.select(
         "_ch",
-        F.floor(F.col("_ms") / span).alias("_part"),
+        floored(F.col("_ms"), span).alias("_part"),
         F.explode(F.when(F.col("_n") > 1, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         .alias("_k"),
         "_ms",
@@ -331,7 +332,7 @@ def anchored_window_by_arrival(
     """
     rows = df.select(
         F.col(channel).cast("int").alias("_ch"),
-        F.floor(F.col(seq) / ARRIVAL_BLOCK_ROWS).alias("_part"),
+        floored(F.col(seq), ARRIVAL_BLOCK_ROWS).alias("_part"),
         F.col(seq).cast("long").alias("_seq"),
         F.col(ms).alias("_ms"),
         *[F.col(c) for c in df.columns],

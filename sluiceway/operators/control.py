@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.names import key_attribute, key_instance
+from sluiceway.functions.numbers import floored
 from sluiceway.operators.lookup import HOT_ROWS, lookup
 
 PUT, PUT_IF_ABSENT, REMOVE = "put", "putIfAbsent", "remove"
@@ -95,7 +96,7 @@ def previous_in_channel(
     a block takes the last row of the channel's block before it, from a table with one row per
     block. So one crowded channel is spread over many tasks.
     """
-    rows = df.withColumn("_block", F.floor(F.col(seq) / block_rows))
+    rows = df.withColumn("_block", floored(F.col(seq), block_rows))
     tails = rows.groupBy(channel, "_block").agg(F.max_by(value, seq).alias("_tail"))
     by_block = Window.partitionBy(channel).orderBy("_block")
     before = tails.select(channel, "_block", F.lag("_tail").over(by_block).alias("_before"))

@@ -51,7 +51,7 @@ def retarget_stream(
     """
     mine = routes.where(F.col("operator") == operator).select(
         F.col("instance").cast("int").alias("_instance"), F.col("stream").alias("_new")
-    )
+    ).dropDuplicates(["_instance"])
     out = (
         rows.withColumn("_instance", instance.cast("int"))
         .join(F.broadcast(mine), "_instance", "left")

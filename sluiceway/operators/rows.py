@@ -93,8 +93,12 @@ def assert_channel(df: DataFrame, dest: str, instance: Column | None = None) ->
 
 
 def in_channel_order(df: DataFrame, channel: str, seq: str) -> DataFrame:
-    """Bring each channel together in first-in first-out order."""
-    return df.repartition(channel).sortWithinPartitions(channel, seq)
+    """First-in first-out order per channel.
+
+    Partitions are ranges of ``(channel, seq)``: each one is in order, and so are the partitions
+    among themselves. A large channel takes several partitions.
+    """
+    return df.repartitionByRange(channel, seq).sortWithinPartitions(channel, seq)
 
 
 def debug_tap(df: DataFrame, name: str) -> DataFrame:

@@ -752,17 +752,20 @@ def _(spark, sf):
     "debug_tap",
     """SELECT event_id, (user_id % 4)::INTEGER AS ch FROM events
     WHERE user_id % 4 IN (SELECT user_id % 4 FROM events WHERE event_type = 'error'
-      GROUP BY user_id % 4 HAVING count(*) % 2 = 0)""",
+      GROUP BY user_id % 4
+      HAVING count(*) * 4 >= (SELECT count(*) FROM events WHERE event_type = 'error'))""",
 )
 def _(spark, sf):
-    """Rows of the instances that are switched to logging."""
+    """Rows of the instances switched to logging: those with at least their share of errors."""
     ev = table(spark, sf, "events").select(
         "event_id", "event_type", (F.col("user_id") % 4).cast("int").alias("ch")
     )
+    errors = ev.where("event_type = 'error'")
+    share = errors.agg(F.count(F.lit(1)) / 4).scalar()
     switches = (
-        ev.where("event_type = 'error'")
-        .groupBy(F.col("ch").alias("instance"))
-        .agg(F.when(F.count(F.lit(1)) % 2 == 0, "with-log").otherwise("off").alias("output"))
+        errors.groupBy(F.col("ch").alias("instance"))
+        .agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("output", F.when(F.col("n") >= share, "with-log").otherwise("off"))
         .withColumn("operator", F.lit("Sink"))
     )
     tapped = rows.tap_rows(rows.debug_tap(ev, "sink_rows"), "Sink", F.col("ch"), switches)

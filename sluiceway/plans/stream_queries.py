@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sluiceway.functions.time import epoch_ms
 from sluiceway.operators.channels import hash_channel
 from sluiceway.operators.control import topology_view
 from sluiceway.operators.rows import tokenize
@@ -44,6 +45,11 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def with_event_time(df: DataFrame) -> DataFrame:
+    """Watermarks need a timestamp with a zone; the given ones are read as UTC."""
+    return df.withColumn("ts", F.timestamp_millis(epoch_ms(df, "ts")))
+
+
 def in_two_parts(
     spark: SparkSession, df: DataFrame, first, step: Callable[[DataFrame], None]
 ) -> None:
@@ -97,7 +103,7 @@ def _(spark, sf):
 @query("stream_window_join", batch.WINDOW_JOIN_SQL)
 def _(spark, sf):
     root = shared_dir(spark, "stream-window-join")
-    ev = table_stream(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ev = with_event_time(table_stream(spark, sf, "events"))
     people = ev.where("event_type = 'signup'").select(
         "user_id", "ts", F.col("event_id").alias("person_event")
     )
@@ -121,7 +127,7 @@ def _(spark, sf):
 def _(spark, sf):
     """Windows that are final when the input ends."""
     root = shared_dir(spark, "stream-tumbling")
-    ev = table_stream(spark, sf, "events").select(F.col("ts").cast("timestamp").alias("ts"))
+    ev = with_event_time(table_stream(spark, sf, "events")).select("ts")
     out = windows.tumbling_counts_stream(ev, "ts", "1 hour", "0 seconds")
     drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
     return spark.read.schema(out.schema).parquet(f"{root}/out")

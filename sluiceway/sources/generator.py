@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
+from sluiceway.functions.numbers import whole
+
 
 def index_range(spark: SparkSession, stop: int, start: int = 0) -> DataFrame:
     """Indexes ``start .. stop - 1``; ``start`` lets a successor go on where a source stopped."""
@@ -71,7 +73,7 @@ def paced(df: DataFrame, rate: int, index: str) -> DataFrame:
     """
     per_second = F.lit(rate + 1).cast("long")
     place = F.pmod(F.col(index), per_second)
-    return df.withColumn("emit_second", F.expr(f"`{index}` div {rate + 1}")).withColumn(
+    return df.withColumn("emit_second", whole(F.col(index), rate + 1)).withColumn(
         "rate_counter", place + 1
     )
 
