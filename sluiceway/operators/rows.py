@@ -15,7 +15,11 @@ from sluiceway.model import NATIVE
 def tokenize(df: DataFrame, text: str, keep: list[str] | None = None) -> DataFrame:
     """One row per word with its place ``pos`` in the text, from 1."""
     keep = keep if keep is not None else [c for c in df.columns if c != text]
-    return df.select(*keep, F.posexplode(words(text)).alias("_pos", "word")).select(
+    # Split in a projection of its own: inside explode it would be computed several times. The
+    # outer form keeps the optimizer from adding a filter on the array, which splits once more.
+    split = df.select(*keep, words(text).alias("_words"))
+    placed = split.select(*keep, F.posexplode_outer("_words").alias("_pos", "word"))
+    return placed.where(F.col("word").isNotNull()).select(
         *keep, (F.col("_pos") + 1).cast("long").alias("pos"), "word"
     )
 
