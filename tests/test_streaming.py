@@ -1,11 +1,9 @@
 from __future__ import annotations
 
-import time
-
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.functions.names import count_line
+from sluiceway.functions.names import count_line, task_line
 from sluiceway.operators.counting import running_count
 from sluiceway.session import shared_dir
 from sluiceway.sources.channel import channel_read
@@ -124,21 +122,18 @@ def test_retried_batch_overwrites_itself(spark):
     assert all_batches(spark, f"{root}/t", "id long, batch int").count() == 5
 
 
-def test_sinks(spark, capfd):
+def test_sinks(spark):
     root = shared_dir(spark, "test-sinks")
     rows = word_rows(spark, 10)
     rows.write.parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).parquet(f"{root}/in")
     drain(sinks.discard_sink(stream, f"{root}/cp-discard"))
     line = count_line(F.col("word"), F.col("seq"))
-    drain(sinks.console_sink(stream.where("seq = 3"), line, F.lit("Sink (1/1)"), f"{root}/cp-console"))
-    printed = ""
-    for _ in range(50):  # the JVM's output arrives a little later
-        printed += capfd.readouterr().out
-        if "Message" in printed:
-            break
-        time.sleep(0.1)
-    assert "[Sink (1/1)] Message: hot: 3" in printed
+    printed = drain(sinks.console_sink(stream, line, F.lit("Sink (1/1)"), f"{root}/cp-console"))
+    assert "Console" in printed.lastProgress["sink"]["description"]
+    assert sum(p["numInputRows"] for p in printed.recentProgress) == 10
+    one = rows.where("seq = 3").select(task_line(F.lit("Sink (1/1)"), line).alias("line"))
+    assert one.first().line == "[Sink (1/1)] Message: hot: 3"
 
     got, tapped = [], []
     switches = spark.createDataFrame([("Sink", 1, "with-log")], "operator string, instance int, output string")
