@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.names import key_attribute, key_instance
 from sluiceway.functions.numbers import floored
-from sluiceway.operators.lookup import HOT_ROWS, lookup
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup
 
 PUT, PUT_IF_ABSENT, REMOVE = "put", "putIfAbsent", "remove"
 
@@ -51,7 +51,7 @@ def changelog_view(
     by_put = ends.where(put_wins).select(*keys, F.col("_value").alias(value))
     undecided = ends.where(~put_wins & (F.col("_offers") > 0)).select(*keys, "_remove", "_offers")
     offers = log.where(is_offer).select(*keys, seq, value)
-    later = lookup(offers, undecided, keys, undecided.where(F.col("_offers") > hot_rows)).where(
+    later = lookup(offers, undecided, keys, hot_keys(undecided, keys, "_offers", hot_rows)).where(
         F.col("_remove").isNull() | (F.col(seq) > F.col("_remove"))
     )
     by_offer = later.groupBy(*keys).agg(F.min_by(value, seq).alias(value))

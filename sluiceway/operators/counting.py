@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluiceway.operators.lookup import HOT_ROWS, lookup
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup
 from sluiceway.operators.ordinal import running_ordinal
 from sluiceway.operators.rows import merge_inputs
 
@@ -35,7 +35,7 @@ def running_count(
     full = totals.join(start, word, "left").select(
         word, F.coalesce("_start", F.lit(0).cast("long")).alias("_start")
     )
-    hot = totals.where(F.col("cnt") > hot_rows)
+    hot = hot_keys(totals, [word], "cnt", hot_rows)
     joined = lookup(counted, full, [word], hot)
     return joined.withColumn("cnt", F.col("cnt") + F.col("_start")).select(*counted.columns)
 

@@ -1,19 +1,34 @@
-"""Joining rows to a one-row-per-key table when some keys are very frequent."""
+"""Frequent keys: finding them, and joining rows to a one-row-per-key table in spite of them."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-HOT_ROWS = 10_000_000  # more rows of one key than a single task should sort
+HOT_ROWS = 10_000_000  # rows of one key that a single task may sort
+MAX_HOT = 20_000  # most blocks, and most hot keys, however large the data is
+
+
+def hot_limit(counts: DataFrame, n: str, hot_rows: int = HOT_ROWS) -> Column:
+    """Rows above which a key is hot: ``hot_rows``, or 1 / ``MAX_HOT`` of all rows if that is more.
+
+    So at most ``MAX_HOT`` keys are hot, and tables of hot keys are safe to broadcast. ``counts``
+    has one row per key; its total is a scalar subquery.
+    """
+    total = counts.agg(F.sum(n)).scalar()
+    return F.greatest(F.lit(hot_rows).cast("long"), F.floor(total / MAX_HOT))
+
+
+def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with too many rows for one task; at most ``MAX_HOT``."""
+    return counts.where(F.col(n) > hot_limit(counts, n, hot_rows)).select(*keys)
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (unique on ``on``).
 
-    ``hot`` lists the keys that have more than some number *t* of rows, so it holds at most
-    (all rows) / *t* keys and is safe to broadcast. Rows of hot keys stay where they are and meet
-    a broadcast of their few table rows; only rows of the other keys are shuffled.
+    Rows of the ``hot`` keys stay where they are and meet a broadcast of their few table rows;
+    only rows of the other keys are shuffled.
     """
     hot = hot.select(*on)
     hot_table = table.join(F.broadcast(hot), on, "left_semi")

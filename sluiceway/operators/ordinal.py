@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators.lookup import HOT_ROWS
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, hot_limit
 
 _SAMPLES_PER_BLOCK = 16
-_SEARCH_STEPS = [1 << b for b in range(21, -1, -1)]
+_SEARCH_STEPS = [1 << b for b in range(16, -1, -1)]
 
 
 def _block_of(position: Column, bounds: Column) -> Column:
@@ -35,12 +35,12 @@ def running_ordinal(
     ``order`` must be unique within a key. No ``keys`` means one sequence over all rows.
 
     A window function sorts each key in one task, which fails for a key with a third of all rows.
-    Keys with more than ``hot_rows`` rows are therefore cut into blocks of the order at sampled
-    split points. Each block is numbered on its own and gets the number of rows in the blocks
-    before it added. Split points and block sizes number at most about (all rows) / ``hot_rows``,
-    so both are broadcast. The sample only places the cuts; any cuts give the same numbers. It
-    is taken by hash, so a recomputed task sees the same cuts. Without a hot key the additional
-    joins are empty and adaptive execution drops them.
+    Hot keys (see ``hot_limit``) are therefore cut into blocks of the order at sampled split
+    points. Each block is numbered on its own and gets the number of rows in the blocks before it
+    added. There are about ``MAX_HOT`` split points at most, however large the data is, so they
+    and the block sizes are broadcast. The sample only places the cuts; any cuts give the same
+    numbers. It is taken by hash, so a recomputed task sees the same cuts. Without a hot key the
+    additional joins are empty and adaptive execution drops them.
     """
     if keys:
         return _running_ordinal(df, keys, order, name, hot_rows)
@@ -52,11 +52,12 @@ def _running_ordinal(
     df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int
 ) -> DataFrame:
     position = F.struct(*order)
-    hot = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    stride = max(1, hot_rows // _SAMPLES_PER_BLOCK)
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = hot_keys(counts, keys, "_n", hot_rows)
+    stride = F.greatest(F.lit(1), F.floor(hot_limit(counts, "_n", hot_rows) / _SAMPLES_PER_BLOCK))
     sample = (
-        df.where(F.pmod(F.xxhash64(*order), F.lit(stride)) == 0)
-        .join(F.broadcast(hot.select(*keys)), keys)
+        df.where(F.pmod(F.xxhash64(*order), stride) == 0)
+        .join(F.broadcast(hot), keys)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(position)).alias("_sample"))
     )

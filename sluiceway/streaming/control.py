@@ -8,7 +8,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from sluiceway.operators.control import PUT, changelog_view
 from sluiceway.streaming.runs import with_batches
-from sluiceway.streaming.tables import batch_table, put_batch
+from sluiceway.streaming.tables import batch_table, keep_from, put_batch
 
 
 def changelog_stream(log: DataFrame, keys: list[str], path: str, checkpoint: str) -> DataStreamWriter:
@@ -30,5 +30,6 @@ def changelog_stream(log: DataFrame, keys: list[str], path: str, checkpoint: str
             )
             changes = known.unionByName(changes)
         put_batch(changelog_view(changes, keys), path, number)
+        keep_from(batch.sparkSession, path, number - 1)
 
     return with_batches(log, checkpoint, handle)

@@ -8,7 +8,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from sluiceway.operators.counting import add_counts, running_count, word_count
 from sluiceway.operators.lookup import HOT_ROWS
 from sluiceway.streaming.runs import with_batches
-from sluiceway.streaming.tables import batch_table, last_batch, put_batch
+from sluiceway.streaming.tables import batch_table, keep_from, last_batch, put_batch
 
 
 def word_count_stream(words: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -45,6 +45,7 @@ def running_count_stream(
             after = word_count(batch)
             after = after if before is None else add_counts(before, after)
             put_batch(after, f"{path}/state", number)
+            keep_from(batch.sparkSession, f"{path}/state", number - 1)
         finally:
             batch.unpersist()
 

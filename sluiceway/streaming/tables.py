@@ -26,7 +26,7 @@ def batch_table(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
 
 
 def last_batch(spark: SparkSession, path: str) -> int:
-    """Number of the newest batch; -1 without any. One row reaches the driver."""
+    """Number of the newest batch; -1 without any."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
@@ -35,6 +35,16 @@ def last_batch(spark: SparkSession, path: str) -> int:
     return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1)
 
 
+def keep_from(spark: SparkSession, path: str, number: int) -> None:
+    """Delete the versions of a state table before ``number``; a restart needs the last two."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.listStatus(folder):
+        name = status.getPath().getName()
+        if name.startswith("batch=") and int(name.split("=")[1]) < number:
+            fs.delete(status.getPath(), True)
+
+
 def latest_rows(spark: SparkSession, path: str, schema: str, keys: list[str]) -> DataFrame:
     """Current row per key of a table that got the changed rows of each batch."""
     changes = all_batches(spark, path, f"{schema}, batch int")

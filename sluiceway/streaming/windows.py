@@ -9,7 +9,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from sluiceway.operators.anchored import closed_windows, place_rows, state_after, window_edges
 from sluiceway.operators.joins import join_placed
 from sluiceway.streaming.runs import with_batches
-from sluiceway.streaming.tables import batch_table, last_batch, put_batch
+from sluiceway.streaming.tables import batch_table, keep_from, last_batch, put_batch
 
 
 def tumbling_counts_stream(df: DataFrame, ts: str, width: str, delay: str) -> DataFrame:
@@ -64,6 +64,7 @@ def anchored_window_stream(
             placed = place_rows(batch, edges, channel, ms, tie, width_ms, carry)
             put_batch(placed, f"{path}/out", number)
             put_batch(state_after(edges, carry), f"{path}/state", number)
+            keep_from(batch.sparkSession, f"{path}/state", number - 1)
         finally:
             batch.unpersist()
 
@@ -110,7 +111,9 @@ def window_join_anchored_stream(
                 F.col("_closed").isNull() | (F.col("win") > F.col("_closed"))
             )
             put_batch(still.drop("_closed").select(*inside.columns), f"{path}/open", number)
+            keep_from(spark, f"{path}/open", number - 1)
             put_batch(state_after(edges, carry), f"{path}/state", number)
+            keep_from(batch.sparkSession, f"{path}/state", number - 1)
         finally:
             batch.unpersist()
 
