@@ -18,6 +18,11 @@ def epoch_ms(df: DataFrame, column: str) -> Column:
     raise TypeError(f"{column} is no event time: {kind}")
 
 
+def now_ms() -> Column:
+    """Wall-clock milliseconds; one value per query or micro-batch."""
+    return F.unix_millis(F.current_timestamp())
+
+
 def from_ms(ms: Column) -> Column:
     """Zone-less timestamp of a number of milliseconds (UTC)."""
     return F.lit("1970-01-01").cast("timestamp_ntz") + F.make_dt_interval(

@@ -9,47 +9,66 @@ from sluiceway.functions.names import queue_name
 from sluiceway.model import DURABLE, NATIVE
 
 
-def channel_members(rows: DataFrame, table: DataFrame, channel: str = "ch") -> DataFrame:
-    """Rows whose channel is listed in the table, which has at most one row per channel."""
-    listed = table.select(F.col("channel").alias(channel)).distinct()
-    return rows.join(F.broadcast(listed), channel, "left_semi")
+def _listed(table: DataFrame, parallelism: int, channel: str) -> DataFrame:
+    """Channels in the table: at most ``parallelism`` rows, whatever the table holds."""
+    known = table.where((F.col("channel") >= 0) & (F.col("channel") < parallelism))
+    return known.select(F.col("channel").cast("int").alias(channel)).distinct()
 
 
-def channel_others(rows: DataFrame, table: DataFrame, channel: str = "ch") -> DataFrame:
+def channel_members(
+    rows: DataFrame, table: DataFrame, parallelism: int, channel: str = "ch"
+) -> DataFrame:
+    """Rows whose channel is listed in the channel table of their stream."""
+    return rows.join(F.broadcast(_listed(table, parallelism, channel)), channel, "left_semi")
+
+
+def channel_others(
+    rows: DataFrame, table: DataFrame, parallelism: int, channel: str = "ch"
+) -> DataFrame:
     """Rows whose channel is not listed."""
-    listed = table.select(F.col("channel").alias(channel)).distinct()
-    return rows.join(F.broadcast(listed), channel, "left_anti")
+    return rows.join(F.broadcast(_listed(table, parallelism, channel)), channel, "left_anti")
 
 
-def route_by_table(rows: DataFrame, table: DataFrame, channel: str = "ch") -> DataFrame:
+def route_by_table(
+    rows: DataFrame, table: DataFrame, parallelism: int, channel: str = "ch"
+) -> DataFrame:
     """Add ``channel_type``: durable for listed channels, native for the others.
 
-    The table is broadcast; after ``distinct`` it has one row per channel, a fixed number. One
-    pass over the rows; works on streams.
+    One pass over the rows without a shuffle; works on streams.
     """
-    listed = table.select(F.col("channel").alias(channel)).distinct()
-    listed = listed.withColumn("_listed", F.lit(True))
+    listed = _listed(table, parallelism, channel).withColumn("_listed", F.lit(True))
     joined = rows.join(F.broadcast(listed), channel, "left")
     kind = F.when(F.col("_listed"), F.lit(DURABLE)).otherwise(F.lit(NATIVE))
     return joined.withColumn("channel_type", kind).select(*rows.columns, "channel_type")
 
 
+def paused_channels(topology: DataFrame, operator: str) -> DataFrame:
+    """Channel table of the instances of an operator that are paused.
+
+    Routing by it holds the rows for paused instances in durable channels until they resume.
+    """
+    paused = (F.col("operator") == operator) & (F.col("status") == "Paused")
+    return topology.where(paused).select(F.col("instance").alias("channel"))
+
+
 def retarget_stream(
     rows: DataFrame,
     routes: DataFrame,
     operator: str,
     instance: Column,
+    instances: int,
     default: str,
     parallelism: dict[str, int] | None = None,
     channel: str = "ch",
 ) -> DataFrame:
     """Add the ``stream`` each row goes to and its ``queue``.
 
-    ``routes`` (``operator, instance, stream``) overrides the default stream for single instances
-    and has at most one row per operator instance. With ``parallelism`` (stream id -> channels)
+    ``routes`` (``operator, instance, stream``) overrides the default stream for single ones of the
+    operator's ``instances``. With ``parallelism`` (stream id -> channels)
     the channel is folded into the channels of the new stream.
     """
-    mine = routes.where(F.col("operator") == operator).select(
+    known = (F.col("operator") == operator) & F.col("instance").between(0, instances - 1)
+    mine = routes.where(known).select(
         F.col("instance").cast("int").alias("_instance"), F.col("stream").alias("_new")
     ).dropDuplicates(["_instance"])
     out = (

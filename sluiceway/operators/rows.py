@@ -29,6 +29,23 @@ def flat_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
     return df.mapInArrow(fn, schema)
 
 
+def flat_map_rows(df: DataFrame, fn: Callable[[dict], list[dict] | None], schema: str) -> DataFrame:
+    """User function from one row to a list of rows; nothing or an empty list drops the row.
+
+    The slow but simple form of ``flat_map``; rows still cross to Python in Arrow batches.
+    """
+
+    def each(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for batch in batches:
+            made = [out for row in batch.to_dict("records") for out in fn(row) or ()]
+            if made:
+                yield pd.DataFrame(made)
+
+    return df.mapInPandas(each, schema)
+
+
 def key_by(df: DataFrame, column: str) -> DataFrame:
     return df.select(F.col(column).alias("key"), *df.columns)
 
@@ -110,12 +127,16 @@ def debug_tap(df: DataFrame, name: str) -> DataFrame:
     return df.observe(name, F.count(F.lit(1)).alias("rows"))
 
 
-def tap_rows(df: DataFrame, operator: str, instance: Column, switches: DataFrame) -> DataFrame:
+def tap_rows(
+    df: DataFrame, operator: str, instance: Column, instances: int, switches: DataFrame
+) -> DataFrame:
     """Rows of the instances whose ``instance-output`` switch is ``with-log``.
 
-    ``switches`` (``operator, instance, output``) has one row per operator instance.
+    ``switches`` (``operator, instance, output``) is a topology view or a part of one; at most
+    ``instances`` rows of it are broadcast.
     """
     on = switches.where((F.col("operator") == operator) & (F.col("output") == "with-log"))
-    on = on.select(F.col("instance").cast("int").alias("_instance"))
+    on = on.where(F.col("instance").between(0, instances - 1))
+    on = on.select(F.col("instance").cast("int").alias("_instance")).distinct()
     tagged = df.withColumn("_instance", instance.cast("int"))
     return tagged.join(F.broadcast(on), "_instance", "left_semi").drop("_instance")

@@ -95,6 +95,19 @@ def _(spark, sf):
     return rows.flat_map(docs, _line_pieces, "doc_id long, line string")
 
 
+@query(
+    "flat_map_rows",
+    """SELECT event_id, unnest(range(0, event_id % 3)) AS copy FROM events""",
+)
+def _(spark, sf):
+    def copies(row: dict) -> list[dict] | None:
+        i = int(row["event_id"])
+        return [{"event_id": i, "copy": c} for c in range(i % 3)] if i % 3 else None
+
+    ev = table(spark, sf, "events").select("event_id")
+    return rows.flat_map_rows(ev, copies, "event_id long, copy long")
+
+
 @query(
     "render_counts",
     f"WITH {WORDS_SQL} SELECT concat(word, ': ', count(*)) AS line FROM words GROUP BY word",
@@ -104,6 +117,20 @@ def _(spark, sf):
     return counts.select(names.count_line(F.col("word"), F.col("cnt")).alias("line"))
 
 
+@query(
+    "render_sink",
+    f"""WITH {WORDS_SQL}, counts AS (SELECT word, count(*) AS cnt FROM words GROUP BY word)
+    SELECT concat('[Sink (', length(word) % 2 + 1, '/2)] Message: ', word, ': ', cnt) AS line FROM counts""",
+)
+def _(spark, sf):
+    """Lines as the sink prints them, prefixed by the task that prints."""
+    counts = counting.word_count(words(spark, sf))
+    number = (F.length("word") % 2 + 1).cast("string")
+    task = F.concat(F.lit("Sink ("), number, F.lit("/2)"))
+    line = names.task_line(task, names.count_line(F.col("word"), F.col("cnt")))
+    return counts.select(line.alias("line"))
+
+
 # --- sources ------------------------------------------------------------------------------
 
 _LINE_ROWS = ", ".join(f"({i}, '{line.replace(chr(39), chr(39) * 2)}')" for i, line in enumerate(LINES))
@@ -422,9 +449,8 @@ def _channelled(spark, sf):
 
 
 def _listed(spark, sf):
-    """The channel table: the channels of the users with the most errors, from the events."""
-    errors = _channelled(spark, sf).where("ch = 1").groupBy("ch").count()
-    return errors.select(F.lit("s").alias("stream"), F.col("ch").alias("channel"))
+    """The channel table: channel 1, taken from the events."""
+    return _channelled(spark, sf).where("ch = 1").select(F.col("ch").alias("channel")).distinct()
 
 
 @query(
@@ -433,18 +459,41 @@ def _listed(spark, sf):
     FROM events""",
 )
 def _(spark, sf):
-    routed = routing.route_by_table(_channelled(spark, sf), _listed(spark, sf))
+    routed = routing.route_by_table(_channelled(spark, sf), _listed(spark, sf), 2)
     return routed.select("event_id", "ch", "channel_type")
 
 
+@query(
+    "hold_paused",
+    """WITH last AS (SELECT user_id % 4 AS ch, max_by(event_type, event_id) AS status FROM events
+      WHERE event_type IN ('signup', 'error') GROUP BY 1)
+    SELECT event_id, (user_id % 4)::INTEGER AS ch, (l.status = 'error')::INTEGER AS channel_type
+    FROM events JOIN last l ON user_id % 4 = l.ch""",
+)
+def _(spark, sf):
+    """Rows for paused instances go to durable channels: a sign-up runs, an error pauses."""
+    ev = table(spark, sf, "events").select(
+        "event_id", "event_type", (F.col("user_id") % 4).cast("int").alias("ch")
+    )
+    log = ev.where(F.col("event_type").isin("signup", "error")).select(
+        F.col("event_id").alias("seq"),
+        F.lit("Counter").alias("tbl"),
+        names.queue_name(F.lit("instance-status"), F.col("ch")).alias("key"),
+        F.lit("put").alias("op"),
+        F.when(F.col("event_type") == "error", "Paused").otherwise("Running").alias("value"),
+    )
+    paused = routing.paused_channels(control.topology_view(log), "Counter")
+    return routing.route_by_table(ev, paused, 4).select("event_id", "ch", "channel_type")
+
+
 @query(
     "channel_membership",
     """SELECT event_id, CASE WHEN user_id % 2 = 1 THEN 'listed' ELSE 'other' END AS part FROM events""",
 )
 def _(spark, sf):
     ev, listed = _channelled(spark, sf), _listed(spark, sf)
-    inside = routing.channel_members(ev, listed).select("event_id", F.lit("listed").alias("part"))
-    outside = routing.channel_others(ev, listed).select("event_id", F.lit("other").alias("part"))
+    inside = routing.channel_members(ev, listed, 2).select("event_id", F.lit("listed").alias("part"))
+    outside = routing.channel_others(ev, listed, 2).select("event_id", F.lit("other").alias("part"))
     return inside.unionByName(outside)
 
 
@@ -465,7 +514,7 @@ def _(spark, sf):
         .distinct()
     )
     out = routing.retarget_stream(
-        ev, routes, "Counter", F.col("user_id") % 4, "first", {"first": 4, "second": 3}
+        ev, routes, "Counter", F.col("user_id") % 4, 4, "first", {"first": 4, "second": 3}
     )
     return out.select("event_id", "stream", "queue")
 
@@ -768,5 +817,5 @@ def _(spark, sf):
         .withColumn("output", F.when(F.col("n") >= share, "with-log").otherwise("off"))
         .withColumn("operator", F.lit("Sink"))
     )
-    tapped = rows.tap_rows(rows.debug_tap(ev, "sink_rows"), "Sink", F.col("ch"), switches)
+    tapped = rows.tap_rows(rows.debug_tap(ev, "sink_rows"), "Sink", F.col("ch"), 4, switches)
     return tapped.select("event_id", "ch")

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions.time import epoch_ms
 from sluiceway.operators.channels import hash_channel
 from sluiceway.operators.control import topology_view
-from sluiceway.operators.rows import tokenize
+from sluiceway.operators.rows import tokenize, union_tagged
 from sluiceway.operators.routing import route_by_table
 from sluiceway.plans import batch_queries as batch
 from sluiceway.plans.registry import query
@@ -29,8 +29,9 @@ from sluiceway.plans.tables import (
     table,
 )
 from sluiceway.session import shared_dir
+from sluiceway.sources import marketplace
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.sources.generator import index_stream
+from sluiceway.sources.generator import index_stream, rate_limited
 from sluiceway.sources.lines import lines
 from sluiceway.streaming import channels, counting, handover, sinks, state, windows
 from sluiceway.streaming.control import changelog_stream
@@ -206,10 +207,8 @@ def _(spark, sf):
     ev = table_stream(spark, sf, "events").select(
         "event_id", (F.col("user_id") % 2).cast("int").alias("ch")
     )
-    listed = table(spark, sf, "events").where("user_id % 2 = 1").select(
-        F.lit("s").alias("stream"), F.lit(1).alias("channel")
-    ).distinct()
-    routed = route_by_table(ev, listed)
+    listed = table(spark, sf, "events").where("user_id % 2 = 1").select(F.lit(1).alias("channel"))
+    routed = route_by_table(ev, listed.distinct(), 2)
     drain(writer(routed, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
     return spark.read.schema(routed.schema).parquet(f"{root}/out")
 
@@ -228,6 +227,31 @@ def _(spark, sf):
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
+@query(
+    "stream_market_sources",
+    f"""WITH {batch.PERSONS_SQL}, {batch.AUCTIONS_SQL}
+    SELECT 'person' AS kind, id, id AS key, name, NULL::BIGINT AS reserve, ms FROM persons
+    UNION ALL SELECT 'auction', id, seller, NULL, reserve, ms FROM auctions""",
+)
+def _(spark, sf):
+    """Rate-limited person and auction streams, merged; the sources stop at the table's size."""
+    root = shared_dir(spark, "stream-market")
+    n = table(spark, sf, "events").count()
+    per_batch = max(1, -(-n // 2))
+    people = marketplace.persons(rate_limited(spark, per_batch, stop=n))
+    sold = marketplace.auctions(rate_limited(spark, per_batch, stop=n))
+    both = union_tagged(
+        {
+            "person": people.select("id", F.col("id").alias("key"), "name", "ms"),
+            "auction": sold.select("id", F.col("seller").alias("key"), "reserve", "ms"),
+        }
+    )
+    out = both.select("kind", "id", "key", "name", "reserve", "ms")
+    build = lambda: writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out")
+    Switchable(build).pause()
+    return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
 _EVENT = "event_id long, user_id long, event_type string, ch int"
 
 

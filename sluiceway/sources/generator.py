@@ -133,6 +133,11 @@ class IndexSource(DataSource):
         return _IndexReader(self.options)
 
 
+def rate_limited(spark: SparkSession, rate: int, start: int = 0, stop: int | None = None):
+    """Indexes at ``rate + 1`` rows per micro-batch; run it with one micro-batch per second."""
+    return index_stream(spark, rate + 1, start, stop)
+
+
 def index_stream(spark: SparkSession, rows_per_batch: int, start: int = 0, stop: int | None = None):
     spark.dataSource.register(IndexSource)
     reader = spark.readStream.format("running-index")

@@ -33,6 +33,7 @@ def tapped_sink(
     df: DataFrame,
     operator: str,
     instance: Column,
+    instances: int,
     switches: Callable[[], DataFrame],
     sink: Callable[[DataFrame, int], None],
     tap: Callable[[DataFrame, int], None],
@@ -45,6 +46,6 @@ def tapped_sink(
 
     def handle(batch: DataFrame, number: int) -> None:
         sink(batch, number)
-        tap(tap_rows(batch, operator, instance, switches()), number)
+        tap(tap_rows(batch, operator, instance, instances, switches()), number)
 
     return with_batches(df, checkpoint, handle)

@@ -70,9 +70,9 @@ def test_marker_across_blocks(spark):
 def test_router_keeps_every_row(spark):
     rows = spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("ch"))
     table = spark.createDataFrame([("s", 1), ("s", 3), ("s", 3)], "stream string, channel int")
-    inside, outside = channel_members(rows, table), channel_others(rows, table)
+    inside, outside = channel_members(rows, table, 4), channel_others(rows, table, 4)
     assert inside.count() + outside.count() == 100 and inside.where("ch % 2 = 0").count() == 0
-    routed = route_by_table(rows, table)
+    routed = route_by_table(rows, table, 4)
     assert routed.count() == 100
     assert routed.where("channel_type = 1").count() == inside.count()
 
@@ -83,4 +83,4 @@ def test_tap(spark):
         [("Sink", 1, "with-log"), ("Sink", 0, "off"), ("Other", 0, "with-log")],
         "operator string, instance int, output string",
     )
-    assert {r.ch for r in tap_rows(rows, "Sink", F.col("ch"), switches).collect()} == {1}
+    assert {r.ch for r in tap_rows(rows, "Sink", F.col("ch"), 2, switches).collect()} == {1}

@@ -141,6 +141,7 @@ def test_sinks(spark):
         stream,
         "Sink",
         F.col("ch"),
+        2,
         lambda: switches,
         lambda df, _: got.extend(df.collect()),
         lambda df, _: tapped.extend(df.collect()),
