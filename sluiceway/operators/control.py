@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions.names import key_attribute, key_instance
 from sluiceway.functions.numbers import floored
 from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup
+from sluiceway.session import written
 
 PUT, PUT_IF_ABSENT, REMOVE = "put", "putIfAbsent", "remove"
 
@@ -34,8 +35,8 @@ def changelog_view(
 
     Let P be the last put and R the last remove of a key. A later put wins: the value at P.
     Otherwise the key was absent after R, and the first putIfAbsent after R sets it. P and R are
-    plain aggregates, combined before the shuffle. Only the putIfAbsent rows of keys decided the
-    second way are looked at again.
+    plain aggregates, combined before the shuffle, and are written to the shared folder, one row
+    per key. Then the putIfAbsent rows of keys decided the second way are looked at once more.
     """
     is_put, is_remove = F.col(op) == PUT, F.col(op) == REMOVE
     is_offer = F.col(op) == PUT_IF_ABSENT
@@ -45,6 +46,7 @@ def changelog_view(
         F.max(F.when(is_remove, F.col(seq))).alias("_remove"),
         F.count_if(is_offer).alias("_offers"),
     )
+    ends = written(ends, "changelog-ends")
     put_wins = F.col("_put").isNotNull() & (
         F.col("_remove").isNull() | (F.col("_put") > F.col("_remove"))
     )

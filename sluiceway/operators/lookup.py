@@ -25,13 +25,18 @@ def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROW
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
-    """Inner join of ``rows`` with ``table`` (unique on ``on``).
+    """Inner join of ``rows`` with ``table`` (unique on ``on``) in one pass over the rows.
 
-    Rows of the ``hot`` keys stay where they are and meet a broadcast of their few table rows;
-    only rows of the other keys are shuffled.
+    Rows of a ``hot`` key are dealt out by a salt to as many groups as there are shuffle
+    partitions, and the key's one table row is copied to each of them. The salt is a hash of the
+    row, so a recomputed task deals the same way. Hot keys are few (see ``hot_limit``).
     """
-    hot = hot.select(*on)
-    hot_table = table.join(F.broadcast(hot), on, "left_semi")
-    stay = rows.join(F.broadcast(hot_table), on)
-    move = rows.join(F.broadcast(hot), on, "left_anti").join(table, on)
-    return stay.unionByName(move)
+    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hot = hot.select(*on).withColumn("_hot", F.lit(True))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int")
+    dealt = rows.join(F.broadcast(hot), on, "left").withColumn(
+        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
+    )
+    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array(F.lit(0)))
+    copied = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts))
+    return dealt.drop("_hot").join(copied.drop("_hot"), [*on, "_salt"]).drop("_salt")
