@@ -145,7 +145,8 @@ def _numbered(
     ``(_ch, _part)`` blocks must have a bounded size and follow ``_seq``. The exchange below feeds
     both passes. A map has at most one step per row of its block, and in time order at most one
     per millisecond of ``width_ms``; steps with the same outcome are merged. ``FAN_IN`` maps make
-    a run, and one group walks the runs of a channel, so no group sees the rows themselves.
+    a run, and one group walks the runs of a channel (or the runs of runs), so no group sees the
+    rows themselves.
     """
     rows = rows.repartition("_ch", "_part")
     prune = arrival_is_time and carry is None
@@ -164,8 +165,11 @@ def _numbered(
             yield pa.RecordBatch.from_pylist(done, _MAP_ARROW)
 
     ordered = rows.sortWithinPartitions("_ch", "_part", "_seq")
-    maps = _in_runs(ordered.mapInArrow(summarise, _MAP_SCHEMA), FAN_IN)
-    runs = _in_runs(_chain(maps), None)
+    levels = [_in_runs(ordered.mapInArrow(summarise, _MAP_SCHEMA), FAN_IN)]
+    # In time order the number of blocks grows with the covered time, else with the rows.
+    for _ in range(0 if arrival_is_time else 1):
+        levels.append(_in_runs(_chain(levels[-1]), FAN_IN))
+    levels.append(_in_runs(_chain(levels[-1]), None))
     if carry is not None:
         carry = carry.select(
             F.col("ch").cast("int").alias("_ch"),
@@ -173,7 +177,9 @@ def _numbered(
             F.coalesce("anchor", F.lit(UNSET)).alias("anchor"),
             F.col("win").alias("opened"),
         )
-    at_part = _entries(maps, _entries(runs, carry))
+    at_part = carry
+    for maps in reversed(levels):
+        at_part = _entries(maps, at_part)
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, size = [], 0

@@ -112,7 +112,7 @@ def _(spark, sf):
         "user_id", "ts", F.col("event_id").alias("auction_event"), "value"
     )
     joined = windows.window_join_stream(
-        people, sold, ("user_id", "user_id"), ("ts", "ts"), "1 hour", "1 hour"
+        people, sold, ("user_id", "user_id"), ("ts", "ts"), "1 hour", "1 hour", salts=2
     )
     out = joined.select("user_id", "window_ms", "person_event", "auction_event", "value")
     drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
