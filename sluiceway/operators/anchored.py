@@ -142,6 +142,8 @@ def _numbered(
 ) -> DataFrame:
     """Add ``win``, ``is_closer`` and ``is_anchor`` to rows ``_ch, _part, _seq, _ms, ...``.
 
+    With ``arrival_is_time`` only anchors and closers are given back.
+
     ``(_ch, _part)`` blocks must have a bounded size and follow ``_seq``. The exchange below feeds
     both passes. A map has at most one step per row of its block, and in time order at most one
     per millisecond of ``width_ms``; steps with the same outcome are merged. ``FAN_IN`` maps make
@@ -189,8 +191,11 @@ def _numbered(
             block = block.drop_columns(["anchor", "opened"])
             block = block.append_column("win", pa.array(win))
             block = block.append_column("is_closer", pa.array(closes))
-            done.append(block.append_column("is_anchor", pa.array(opens)))
-            size += len(win)
+            block = block.append_column("is_anchor", pa.array(opens))
+            # In time order only the edges are wanted; leave the rest out before it travels back.
+            block = block.filter(pa.array(opens | closes)) if arrival_is_time else block
+            done.append(block)
+            size += len(block)
             if size > _ROWS_PER_BATCH:
                 yield from pa.concat_tables(done).combine_chunks().to_batches()
                 done, size = [], 0
@@ -236,8 +241,7 @@ def window_edges(
         "_tie",
     ).select("_ch", "_part", (F.col("_ms") * 2 + F.col("_k")).alias("_seq"), "_ms", "_tie")
     numbered = _numbered(rows, width_ms, carry, arrival_is_time=True)
-    edges = numbered.where("is_anchor or is_closer")
-    return written(edges.select("_ch", "_ms", "_tie", "win", "is_closer"), "window-edges")
+    return written(numbered.select("_ch", "_ms", "_tie", "win", "is_closer"), "window-edges")
 
 
 def _edges_by_bucket(edges: DataFrame, carry: DataFrame | None, width_ms: int) -> DataFrame:
