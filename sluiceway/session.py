@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,16 +30,18 @@ def local_session(cores: int | str = 8, memory: str = "8g", **conf: str) -> Spar
     return spark
 
 
+@cache
+def _local_root() -> str:
+    return tempfile.mkdtemp(prefix="sluiceway-")
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder path below ``spark.checkpoint.dir``.
 
     The cluster names that folder and every executor can reach it. Only where it is unset
-    (tests, a laptop) a temporary folder is made and written back to the session.
+    (tests, a laptop) a temporary folder takes its place.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="sluiceway-")
-        spark.conf.set("spark.checkpoint.dir", root)
+    root = spark.conf.get("spark.checkpoint.dir", "") or _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
