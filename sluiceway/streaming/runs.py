@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
@@ -52,18 +53,22 @@ class Switchable:
             self._query = self._build().start()
             self.status = RUNNING
 
-    def pause(self) -> None:
-        """Finish what has arrived, then stop, so that state and offsets agree."""
+    def pause(self, finish: bool = True) -> None:
+        """Stop, by default after what has arrived is done, so that state and offsets agree.
+
+        A source that never runs dry needs ``finish=False``: a micro-batch that is cut short is
+        run again, and overwrites its output, when the query resumes.
+        """
         if self.status == RUNNING:
-            if self._query.isActive:
+            if finish and self._query.isActive:
                 self._query.processAllAvailable()
             self._query.stop()
             self.status = PAUSED
 
-    def follow(self, topology: DataFrame, operator: str) -> None:
+    def follow(self, topology: DataFrame, operator: str, finish: bool = True) -> None:
         """Take the status of the operator's instances from a topology view (few rows)."""
-        mine = topology.where(f"operator = '{operator}' and status = '{PAUSED}'")
-        self.pause() if not mine.isEmpty() else self.resume()
+        mine = topology.where((F.col("operator") == operator) & (F.col("status") == PAUSED))
+        self.resume() if mine.isEmpty() else self.pause(finish)
 
     @property
     def query(self) -> StreamingQuery | None:

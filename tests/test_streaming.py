@@ -82,7 +82,8 @@ def test_one_instance_moves_and_the_other_stays(spark):
     assert got == sorted((r.k, i) for r in totals for i in range(1, r["count"] + 1))
 
 
-def test_pause_loses_nothing(spark):
+@pytest.mark.parametrize("finish", [True, False])
+def test_pause_loses_nothing(spark, finish):
     root = shared_dir(spark, "test-pause")
     rows = word_rows(spark).select("seq", "word")
     rows.where("seq < 30").write.parquet(f"{root}/in")
@@ -94,14 +95,14 @@ def test_pause_loses_nothing(spark):
     job = Switchable(build, paused=True)
     assert job.status == "Paused" and job.query is None
     job.resume()
-    job.pause()
+    job.pause(finish=finish)
     rows.where("seq >= 30").write.mode("append").parquet(f"{root}/in")
     job.resume()
     job.pause()
     got = all_batches(spark, f"{root}/out", "seq long, word string, cnt long").select("seq", "word", "cnt")
     want = running_count(rows, ["seq"]).select("seq", "word", "cnt")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
-    assert last_batch(spark, f"{root}/out") == 1
+    assert not finish or last_batch(spark, f"{root}/out") == 1
 
 
 def test_channels_are_pruned_and_ordered_by_epoch(spark):
