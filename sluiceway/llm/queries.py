@@ -10,6 +10,7 @@ from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
 from sluiceway.llm.licenses import BASE, license_scan
 from sluiceway.llm.sharding import bounded_shards
+from sluiceway.llm.simhash import simhash_components
 from sluiceway.llm.url_filter import judge_urls, rules_table
 
 QUERIES = {}
@@ -70,6 +71,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query("op5_simhash_dedup")
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4)
+
+
 @query("op6_bpe")
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_round_trip(table(spark, sf_dir, "documents"), TOKENIZER, digests=True)

@@ -29,7 +29,8 @@ def ring(spark: SparkSession, shards: int, virtual_nodes: int = VIRTUAL_NODES) -
     starts = nodes.select("at").distinct()
     # Distance clockwise from each start to the nearest node of each shard.
     near = nodes.groupBy("shard").agg(F.sort_array(F.collect_set("at")).alias("ats"))
-    pairs = starts.join(near, F.lit(True)).select(
+    each = starts.select("at", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    pairs = each.join(near, "shard").select(
         "at",
         "shard",
         F.array_min(F.transform("ats", lambda a: F.pmod(a - F.col("at"), F.lit(ARCS)))).alias("gap"),
