@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
 from sluiceway.llm.licenses import BASE, license_scan
+from sluiceway.llm.metric_join import near_duplicate_vectors
 from sluiceway.llm.sharding import bounded_shards
 from sluiceway.llm.simhash import simhash_components
 from sluiceway.llm.url_filter import judge_urls, rules_table
@@ -84,3 +85,8 @@ def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"), BASE)
+
+
+@query("op10_embedding_dedup")
+def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicate_vectors(table(spark, sf_dir, "embeddings"), threshold=0.98)
