@@ -14,7 +14,7 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import ascii_lower
+from sluiceway.llm.common import ascii_lower, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 K = 2
@@ -104,7 +104,8 @@ def diagonal_scan(
     hits = hits.select("_id", "_hash", "template", "label", "exact", "words", "grams", "tpos",
                        (F.col("pos") - F.col("tpos")).alias("diagonal"))
     key = ["_id", "_hash", "template", "label", "exact", "words", "grams"]
-    votes = hits.groupBy(*key, "diagonal").agg(F.collect_set("tpos").alias("runs"))
+    # Written once: both kinds of templates read it, and the texts are not scanned again.
+    votes = stored(hits.groupBy(*key, "diagonal").agg(F.collect_set("tpos").alias("runs")), "license-votes")
     places = votes.where("exact and size(runs) = grams").select(
         "_id", "_hash", "template", "label", "exact", F.col("diagonal").alias("start"),
         (F.col("diagonal") + F.col("words")).alias("end"), F.lit(1.0).alias("covered"),
