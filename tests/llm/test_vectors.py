@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from sluiceway.llm.ann import SubstringIndexes, nearest
 from sluiceway.llm.metric_join import near_duplicate_vectors, pick_pivots, visited_cells
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node string, n int"
@@ -83,3 +84,46 @@ def test_cells_hold_all_that_is_in_reach():
     near = np.linalg.norm(points[:, None] - points[None], axis=2) <= 0.3
     a, b = np.nonzero(near)
     assert seen[a, home[b]].all() and seen.mean() < 0.9
+
+
+def brute_nearest(rows, ask, k=5):
+    out = Counter()
+    good = [(i, v) for i, v, *_ in rows if usable(v)]
+    for at, (q, v) in enumerate(good):
+        if q is None or not ask(q):
+            continue
+        scores = sorted((-cos(v, w), i) for j, (i, w) in enumerate(good) if j != at and len(v) == len(w))
+        for rank, (s, i) in enumerate(scores[:k], 1):
+            out[q, rank, i, round(-s, 9)] += 1
+    return out
+
+
+def test_nearest_finds_all_when_blocks_are_retrieved_whole(spark):
+    vectors = clustered(2, 300)
+    rows = [(i, [float(x) for x in v], 0, "x", 1) for i, v in enumerate(vectors)]
+    rows += [(300 + i, rows[7][1], 0, "x", 1) for i in range(30)] + [rows[7], rows[50]]
+    rows += [(400, None, 0, "x", 1), (410, [0.0] * 12, 0, "x", 1), (420, [1.0, 2.0], 0, "x", 1), (421, [1.0, 2.5], 0, "x", 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = nearest(df, df.where("vec_id % 10 = 0"), 5, retrieved=100, index_rows=100, query_rows=20).collect()
+    assert Counter((r.query_id, r.rank, r.vec_id, round(r.score, 9)) for r in got) == brute_nearest(rows, lambda q: q % 10 == 0)
+    few = df.where("vec_id < 3")
+    assert nearest(few, few, 5).count() == 6
+    assert nearest(df.limit(0), df.limit(0), 5).count() == 0
+
+
+def test_nearest_recall(spark, small):
+    df = spark.read.parquet(f"{small}/embeddings.parquet")
+    rows = [tuple(r) for r in df.select("vec_id", "embedding").collect()]
+    want = {(q, i) for q, _, i, _ in brute_nearest(rows, lambda q: q % 50 == 0)}
+    got = {(r.query_id, r.vec_id) for r in nearest(df, df.where("vec_id % 50 = 0"), 5, retrieved=64).collect()}
+    assert len(got & want) >= 0.9 * len(want)
+
+
+def test_probing_is_complete():
+    rng = np.random.default_rng(3)
+    parts = rng.integers(0, 2**16, (500, 4)).astype(np.uint16)
+    parts[:50] = parts[0] ^ (1 << rng.integers(0, 16, (50, 4))).astype(np.uint16)
+    index = SubstringIndexes(parts)
+    distance = np.bitwise_count(parts ^ parts[0]).sum(1)
+    for radius in (0, 1, 3, 6, 10, 20, 30, 64):
+        assert index.within(parts[0], radius)[0].tolist() == np.flatnonzero(distance <= radius).tolist()
