@@ -11,6 +11,7 @@ from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
 from sluiceway.llm.licenses import BASE, license_scan
 from sluiceway.llm.metric_join import near_duplicate_vectors
+from sluiceway.llm.quality import fit, judge
 from sluiceway.llm.sharding import bounded_shards
 from sluiceway.llm.simhash import simhash_components
 from sluiceway.llm.url_filter import judge_urls, rules_table
@@ -97,3 +98,14 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return nearest(vectors, vectors.where("vec_id % 50 = 0"), 5)
+
+
+@query("op7_quality_classifier")
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", "lang")
+    judged = judge(docs, fit(docs, table(spark, sf_dir, "labels")))
+    return judged.select(
+        "doc_id", "source", "lang", F.col("_evidence").alias("evidence"), F.col("_host_rate").alias("host_rate"),
+        F.col("_path_rate").alias("path_rate"), F.col("_posterior").alias("posterior"),
+        F.col("_rejected").alias("rejected"),
+    )
