@@ -11,6 +11,7 @@ from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
 from sluiceway.llm.licenses import BASE, license_scan
 from sluiceway.llm.metric_join import near_duplicate_vectors
+from sluiceway.llm.packing import packed_documents
 from sluiceway.llm.quality import fit, judge
 from sluiceway.llm.sharding import bounded_shards
 from sluiceway.llm.simhash import simhash_components
@@ -109,3 +110,8 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("_path_rate").alias("path_rate"), F.col("_posterior").alias("posterior"),
         F.col("_rejected").alias("rejected"),
     )
+
+
+@query("op1_best_fit_packing")
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
