@@ -15,6 +15,7 @@ from sluiceway.llm.packing import packed_documents
 from sluiceway.llm.quality import fit, judge
 from sluiceway.llm.sharding import bounded_shards
 from sluiceway.llm.simhash import simhash_components
+from sluiceway.llm.suffix_dedup import without_repeats
 from sluiceway.llm.url_filter import judge_urls, rules_table
 
 QUERIES = {}
@@ -115,3 +116,11 @@ def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_best_fit_packing")
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
+@query("op3_suffix_dedup")
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
+        "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
+        F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
+    )
