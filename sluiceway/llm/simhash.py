@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.llm.common import blocks, stored
@@ -272,3 +272,23 @@ def simhash_components(
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     by_node = named.join(least, "root").select("node", "component_id")
     return prints.join(by_node, "node").select(F.col("_id").alias(id_col), "fingerprint", "component_id")
+
+
+def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stay when each group keeps one document.
+
+    Of a group of near-duplicates (see ``simhash_components``, which takes ``options``) the one
+    with the least id stays, null ids last; of rows that repeat both id and text one stays.
+    """
+    key = F.struct(
+        F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
+        F.xxhash64(F.coalesce(text_col, F.lit(""))).alias("h"),
+    )
+    found = simhash_components(
+        docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **options
+    )
+    first = stored(found.select(F.col("component_id.k").alias("_k"), F.col("component_id.h").alias("_h")).distinct(), "firsts")
+    keyed = docs.withColumn("_key", key).withColumn("_k", F.col("_key.k")).withColumn("_h", F.col("_key.h")).drop("_key")
+    one = Window.partitionBy("_k", "_h").orderBy(F.lit(1))
+    stay = keyed.join(first, ["_k", "_h"], "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1")
+    return stay.select(*docs.columns)
