@@ -28,6 +28,9 @@ HEADLINES = {
     "new_sellers_anchored": "events",
     "changelog_view": "events",
     "mode_switch_marker": "events",
+    "stream_running_count": "documents",
+    "stream_window_join_anchored": "events",
+    "handover": "events",
 }
 
 

@@ -20,17 +20,9 @@ def long_hash(value: Column) -> Column:
 
 
 def string_hash(value: Column) -> Column:
-    """Polynomial hash, base 31, over UTF-16 units; linear in the length of the string."""
-
-    def fold(acc: Column, ch: Column) -> Column:
-        code = F.ascii(ch).cast("long")  # the whole code point
-        high = F.lit(0xD800) + F.shiftright(code - 0x10000, 10)
-        low = F.lit(0xDC00) + (code - 0x10000).bitwiseAND(F.lit(0x3FF))
-        pair = (acc * 31 + high).bitwiseAND(F.lit(_MASK)) * 31 + low
-        return F.when(code < 0x10000, acc * 31 + code).otherwise(pair).bitwiseAND(F.lit(_MASK))
-
-    hashed = F.aggregate(F.split(value, ""), F.lit(0).cast("long"), fold, _signed32)
-    return F.when(value == "", F.lit(0).cast("long")).otherwise(hashed)
+    """Polynomial hash, base 31, over UTF-16 units: the JVM's own, called directly."""
+    code = F.reflect(F.lit("java.util.Objects"), F.lit("hashCode"), value).cast("long")
+    return F.when(value.isNotNull(), code)
 
 
 def key_hash(value: Column, data_type: str) -> Column:

@@ -47,8 +47,3 @@ class StreamSpec:
 
 
 @dataclass(frozen=True)
-class InputSpec:
-    """A named input stream and the column its rows are keyed by."""
-
-    id: str
-    key: str | None = None

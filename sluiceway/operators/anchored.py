@@ -327,7 +327,7 @@ def place_rows(
     )
     if carry is not None:
         carried = carry.select(F.col("ch").cast("int").alias("_ch"), F.col("win").alias("_carried"))
-        placed = placed.join(F.broadcast(carried), "_ch", "left")  # one row per channel
+        placed = placed.join(carried, "_ch", "left")  # one row per channel
         win = F.coalesce(win, F.col("_carried"))
     return placed.select(*df.columns, win.alias("win"), closes.alias("is_closer"))
 

@@ -45,7 +45,7 @@ def direct_channel(n: int, dest: Column) -> Column:
 
 
 def _bad_instance(value: Column) -> Column:
-    message = F.concat(F.lit("Invalid instance index: "), F.coalesce(value.cast("string"), F.lit("null")))
+    message = F.concat(F.lit("no such channel: "), F.coalesce(value.cast("string"), F.lit("null")))
     return F.raise_error(message).cast("int")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.names import key_attribute, key_instance
 from sluiceway.functions.numbers import floored
-from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup, same_keys
 from sluiceway.session import written
 
 PUT, PUT_IF_ABSENT, REMOVE = "put", "putIfAbsent", "remove"
@@ -53,7 +53,8 @@ def changelog_view(
     by_put = ends.where(put_wins).select(*keys, F.col("_value").alias(value))
     undecided = ends.where(~put_wins & (F.col("_offers") > 0)).select(*keys, "_remove", "_offers")
     offers = log.where(is_offer).select(*keys, seq, value)
-    later = lookup(offers, undecided, keys, hot_keys(undecided, keys, "_offers", hot_rows)).where(
+    hot = hot_keys(undecided, keys, "_offers", hot_rows)
+    later = lookup(offers, undecided, keys, hot, hot_rows).where(
         F.col("_remove").isNull() | (F.col(seq) > F.col("_remove"))
     )
     by_offer = later.groupBy(*keys).agg(F.min_by(value, seq).alias(value))
@@ -104,7 +105,7 @@ def previous_in_channel(
     before = tails.select(channel, "_block", F.lag("_tail").over(by_block).alias("_before"))
     inside = Window.partitionBy(channel, "_block").orderBy(seq)
     previous = F.coalesce(F.lag(value).over(inside), F.col("_before"))
-    joined = rows.join(before, [channel, "_block"])
+    joined = same_keys(rows, before, [channel, "_block"], "left")
     return joined.withColumn(name, previous).select(*df.columns, name)
 
 

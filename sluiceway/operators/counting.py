@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup
+from sluiceway.functions.numbers import floored
+from sluiceway.functions.time import bucket_start
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup, same_keys
 from sluiceway.operators.ordinal import running_ordinal
 from sluiceway.operators.rows import merge_inputs
 
@@ -25,18 +27,19 @@ def running_count(
     """For every row the count of its word so far, in the given order.
 
     ``start`` (``word, cnt``) continues from counts reached before. Frequent words are numbered
-    in blocks and look their start up by broadcast, so no task gets all rows of a word.
+    in blocks and look their start up in groups, so no task gets all rows of a word. A null word
+    is counted like any other.
     """
     counted = running_ordinal(words, [word], order, "cnt", hot_rows)
     if start is None:
         return counted
     start = start.select(word, F.col("cnt").alias("_start"))
     totals = word_count(words, word)
-    full = totals.join(start, word, "left").select(
+    full = same_keys(totals, start, [word], "left").select(
         word, F.coalesce("_start", F.lit(0).cast("long")).alias("_start")
     )
     hot = hot_keys(totals, [word], "cnt", hot_rows)
-    joined = lookup(counted, full, [word], hot)
+    joined = lookup(counted, full, [word], hot, hot_rows)
     return joined.withColumn("cnt", F.col("cnt") + F.col("_start")).select(*counted.columns)
 
 
@@ -51,13 +54,23 @@ def add_counts(before: DataFrame, after: DataFrame, word: str = "word") -> DataF
     return both.groupBy(word).agg(F.sum("cnt").alias("cnt"))
 
 
-def event_counters(events: DataFrame, source: str, second: str) -> DataFrame:
-    """Rows per source and second, and the source's total up to that second.
+def event_rates(events: DataFrame, sources: list[str], ms: str) -> DataFrame:
+    """Rows per source and second of event time."""
+    second = bucket_start(F.col(ms), 1000).alias("second")
+    return events.groupBy(*sources, second).agg(F.count(F.lit(1)).alias("rate_counter"))
 
-    The window runs over the aggregate: per source one row per second, not per event.
-    """
-    from pyspark.sql import Window
 
-    per_second = events.groupBy(source, second).agg(F.count(F.lit(1)).alias("rate_counter"))
-    so_far = Window.partitionBy(source).orderBy(second).rowsBetween(Window.unboundedPreceding, 0)
-    return per_second.withColumn("event_counter", F.sum("rate_counter").over(so_far))
+def event_counters(events: DataFrame, source: str, ms: str, block_ms: int = 1 << 22) -> DataFrame:
+    """Rows per source and second of event time, and the source's total up to that second.
+
+    Seconds are summed in blocks of about an hour, the totals before a block come from a table
+    with one row per source and block, so that no task sorts all seconds of a source.
+    """
+    per_second = event_rates(events, [source], ms).withColumn("_block", floored(F.col("second"), block_ms))
+    blocks = per_second.groupBy(source, "_block").agg(F.sum("rate_counter").alias("_n"))
+    earlier = Window.partitionBy(source).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = blocks.select(source, "_block", F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(source, "_block").orderBy("second").rowsBetween(Window.unboundedPreceding, 0)
+    total = (F.sum("rate_counter").over(inside) + F.col("_before")).alias("event_counter")
+    joined = same_keys(per_second, before, [source, "_block"])
+    return joined.select(source, "second", "rate_counter", total)

@@ -63,9 +63,9 @@ def join_placed(
 ) -> DataFrame:
     """Join two kinds of placed rows per channel, closed window and key.
 
-    ``closed`` has one row per channel. The filter on the kind reaches the scan of each side.
+    ``closed`` has one row per channel; Spark broadcasts it if it is small. The filter on the kind reaches the scan of each side.
     """
-    kept = inside.join(F.broadcast(closed), channel).where(F.col("win") <= F.col("_closed"))
+    kept = inside.join(closed, channel).where(F.col("win") <= F.col("_closed"))
     on = [channel, "win", key]
 
     def side(kind: str, chosen: dict[str, str]) -> DataFrame:

@@ -2,44 +2,45 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 HOT_ROWS = 10_000_000  # rows of one key that a single task may sort
-MAX_HOT = 20_000  # most blocks, and most hot keys, however large the data is
 
+def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows and their number, at any size of the data.
 
-def hot_limit(counts: DataFrame, n: str, hot_rows: int = HOT_ROWS) -> Column:
-    """Rows above which a key is hot: ``hot_rows``, or 1 / ``MAX_HOT`` of all rows if that is more.
-
-    So at most ``MAX_HOT`` keys are hot, and tables of hot keys are safe to broadcast. ``counts``
-    has one row per key; its total is a scalar subquery.
+    There is at most one for every ``hot_rows`` rows of all. Spark broadcasts them if they are few
+    and shuffles otherwise.
     """
-    total = counts.agg(F.sum(n)).scalar()
-    return F.greatest(F.lit(hot_rows).cast("long"), F.floor(total / MAX_HOT))
+    return counts.where(F.col(n) > hot_rows).select(*keys, n)
 
 
-def hot_keys(counts: DataFrame, keys: list[str], n: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Keys with too many rows for one task; at most ``MAX_HOT``."""
-    return counts.where(F.col(n) > hot_limit(counts, n, hot_rows)).select(*keys)
+def same_keys(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on equal keys, null being equal to null; the keys come once, from the left."""
+    other = {k: f"_other_{i}" for i, k in enumerate(keys)}
+    right = right.withColumnsRenamed(other)
+    on = [left[k].eqNullSafe(right[o]) for k, o in other.items()]
+    return left.join(right, on, how).drop(*other.values())
 
 
-def lookup(rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame) -> DataFrame:
+def lookup(
+    rows: DataFrame, table: DataFrame, on: list[str], hot: DataFrame, hot_rows: int = HOT_ROWS
+) -> DataFrame:
     """Inner join of ``rows`` with ``table`` (unique on ``on``) in one pass over the rows.
 
-    Rows of a ``hot`` key are dealt out by a salt to as many groups as there are shuffle
-    partitions, and the key's one table row is copied to each of them. The salt is a hash of the
-    row, so a recomputed task deals the same way. Hot keys are few (see ``hot_limit``).
+    ``hot`` (see ``hot_keys``) has the frequent keys and their rows as its last column. A hot key's
+    rows are dealt out by a salt to one group for every ``hot_rows`` of them, and the key's one
+    table row is copied to each group. The salt is a hash of the row, so a recomputed task deals
+    the same way. Null keys meet null keys.
     """
-    groups = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    hot = hot.select(*on).withColumn("_hot", F.lit(True))
-    salt = F.pmod(F.xxhash64(*rows.columns), F.lit(groups)).cast("int")
-    dealt = rows.join(F.broadcast(hot), on, "left").withColumn(
-        "_salt", F.when(F.col("_hot"), salt).otherwise(0)
-    )
-    salts = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(groups - 1))).otherwise(F.array(F.lit(0)))
-    copied = table.join(F.broadcast(hot), on, "left").withColumn("_salt", F.explode(salts))
-    return dealt.drop("_hot").join(copied.drop("_hot"), [*on, "_salt"]).drop("_salt")
+    n = hot.columns[-1]
+    hot = hot.select(*on, F.ceil(F.col(n) / hot_rows).cast("int").alias("_groups"))
+    salt = F.pmod(F.xxhash64(*rows.columns), F.col("_groups")).cast("int")
+    dealt = same_keys(rows, hot, on, "left").withColumn("_salt", F.coalesce(salt, F.lit(0)))
+    salts = F.sequence(F.lit(0), F.coalesce("_groups", F.lit(1)) - 1)
+    copied = same_keys(table, hot, on, "left").withColumn("_salt", F.explode(salts))
+    return same_keys(dealt.drop("_groups"), copied.drop("_groups"), [*on, "_salt"]).drop("_salt")
 
 
 def dealt(left: DataFrame, right: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.operators.lookup import HOT_ROWS, hot_keys, hot_limit
+from sluiceway.operators.lookup import HOT_ROWS, hot_keys, same_keys
 
 _SAMPLES_PER_BLOCK = 16
-_SEARCH_STEPS = [1 << b for b in range(16, -1, -1)]
+_SEARCH_STEPS = [1 << b for b in range(23, -1, -1)]
 
 
 def _block_of(position: Column, bounds: Column) -> Column:
@@ -35,12 +35,13 @@ def running_ordinal(
     ``order`` must be unique within a key. No ``keys`` means one sequence over all rows.
 
     A window function sorts each key in one task, which fails for a key with a third of all rows.
-    Hot keys (see ``hot_limit``) are therefore cut into blocks of the order at sampled split
-    points. Each block is numbered on its own and gets the number of rows in the blocks before it
-    added. There are about ``MAX_HOT`` split points at most, however large the data is, so they
-    and the block sizes are broadcast. The sample only places the cuts; any cuts give the same
-    numbers. It is taken by hash, so a recomputed task sees the same cuts. Without a hot key the
-    additional joins are empty and adaptive execution drops them.
+    Keys with more than ``hot_rows`` rows are therefore cut into blocks of the order at sampled
+    split points. Each block is numbered on its own and gets the number of rows in the blocks
+    before it added. There is one split point for about ``hot_rows`` rows of a hot key, at any
+    size of the data; Spark broadcasts them if they are few. The sample only places the cuts; any
+    cuts give the same numbers. It is taken by hash, so a recomputed task sees the same cuts.
+    Without a hot key the additional joins are empty and adaptive execution drops them. Rows with
+    a null key are numbered like those of any other key.
     """
     if keys:
         return _running_ordinal(df, keys, order, name, hot_rows)
@@ -54,10 +55,9 @@ def _running_ordinal(
     position = F.struct(*order)
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     hot = hot_keys(counts, keys, "_n", hot_rows)
-    stride = F.greatest(F.lit(1), F.floor(hot_limit(counts, "_n", hot_rows) / _SAMPLES_PER_BLOCK))
+    stride = F.lit(max(1, hot_rows // _SAMPLES_PER_BLOCK))
     sample = (
-        df.where(F.pmod(F.xxhash64(*order), stride) == 0)
-        .join(F.broadcast(hot), keys)
+        same_keys(df.where(F.pmod(F.xxhash64(*order), stride) == 0), hot.select(*keys), keys)
         .groupBy(*keys)
         .agg(F.array_sort(F.collect_list(position)).alias("_sample"))
     )
@@ -67,10 +67,9 @@ def _running_ordinal(
         F.filter("_sample", lambda _, i: F.pmod(i + 1, every) == 0).alias("_cuts"),
     )
     block = F.when(F.col("_cuts").isNull(), 0).otherwise(_block_of(position, F.col("_cuts")))
-    rows = df.join(F.broadcast(cuts), keys, "left").withColumn("_block", block).drop("_cuts")
+    rows = same_keys(df, cuts, keys, "left").withColumn("_block", block).drop("_cuts")
     sizes = (
-        df.select(*dict.fromkeys([*keys, *order]))
-        .join(F.broadcast(cuts), keys)
+        same_keys(df.select(*dict.fromkeys([*keys, *order])), cuts, keys)
         .groupBy(*keys, _block_of(position, F.col("_cuts")).alias("_block"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
@@ -80,8 +79,7 @@ def _running_ordinal(
     before = sizes.select(*keys, "_block", F.sum("_n").over(earlier).alias("_before"))
     local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
     return (
-        rows.withColumn("_local", local)
-        .join(F.broadcast(before), [*keys, "_block"], "left")
+        same_keys(rows.withColumn("_local", local), before, [*keys, "_block"], "left")
         .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0).cast("long")))
         .select(*df.columns, name)
     )

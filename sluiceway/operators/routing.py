@@ -63,21 +63,24 @@ def retarget_stream(
 ) -> DataFrame:
     """Add the ``stream`` each row goes to and its ``queue``.
 
-    ``routes`` (``operator, instance, stream``) overrides the default stream for single ones of the
-    operator's ``instances``. With ``parallelism`` (stream id -> channels)
-    the channel is folded into the channels of the new stream.
+    ``routes`` (``operator, instance, stream``, and ``seq`` if routes can repeat) overrides the
+    default stream for single ones of the operator's ``instances``; the last route by ``seq``
+    counts, without it the greatest stream id. With ``parallelism`` (stream id -> channels) the
+    channel is folded into the channels of the new stream; a stream that is not listed there is
+    an error.
     """
+    last = F.col("seq") if "seq" in routes.columns else F.lit(0)
     known = (F.col("operator") == operator) & F.col("instance").between(0, instances - 1)
-    mine = routes.where(known).select(
-        F.col("instance").cast("int").alias("_instance"), F.col("stream").alias("_new")
-    ).dropDuplicates(["_instance"])
+    mine = routes.where(known).groupBy(F.col("instance").cast("int").alias("_instance")).agg(
+        F.max(F.struct(last.alias("seq"), F.col("stream").alias("stream"))).getField("stream").alias("_new")
+    )  # at most ``instances`` rows
     out = (
         rows.withColumn("_instance", instance.cast("int"))
         .join(F.broadcast(mine), "_instance", "left")
         .withColumn("stream", F.coalesce("_new", F.lit(default)))
     )
     if parallelism is not None:
-        n = F.lit(None).cast("int")
+        n = F.raise_error(F.concat(F.lit("no parallelism for stream "), F.col("stream"))).cast("int")
         for stream, channels in parallelism.items():
             n = F.when(F.col("stream") == stream, F.lit(channels)).otherwise(n)
         out = out.withColumn(channel, (F.col(channel) % n).cast("int"))

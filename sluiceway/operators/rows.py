@@ -32,18 +32,22 @@ def flat_map(df: DataFrame, fn: Callable[[Iterator], Iterator], schema: str) ->
 def flat_map_rows(df: DataFrame, fn: Callable[[dict], list[dict] | None], schema: str) -> DataFrame:
     """User function from one row to a list of rows; nothing or an empty list drops the row.
 
-    The slow but simple form of ``flat_map``; rows still cross to Python in Arrow batches.
+    The slow but simple form of ``flat_map``. Rows cross to Python in Arrow batches and keep their
+    types: nulls are ``None``, whole numbers stay whole.
     """
+    import pyarrow as pa
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
-    def each(batches: Iterator) -> Iterator:
-        import pandas as pd
+    kind = to_arrow_schema(StructType.fromDDL(schema))
 
+    def each(batches: Iterator) -> Iterator:
         for batch in batches:
-            made = [out for row in batch.to_dict("records") for out in fn(row) or ()]
+            made = [out for row in batch.to_pylist() for out in fn(row) or ()]
             if made:
-                yield pd.DataFrame(made)
+                yield pa.RecordBatch.from_pylist(made, kind)
 
-    return df.mapInPandas(each, schema)
+    return df.mapInArrow(each, schema)
 
 
 def key_by(df: DataFrame, column: str) -> DataFrame:
@@ -106,7 +110,7 @@ def assert_channel(df: DataFrame, dest: str, instance: Column | None = None) ->
     the column is used.
     """
     instance = F.spark_partition_id() if instance is None else instance
-    message = F.lit("Channel index of received rows does not match this instance")
+    message = F.lit("a row reached a task that is not its destination")
     checked = F.when(F.col(dest) == instance, F.col(dest)).otherwise(
         F.raise_error(message).cast("int")
     )

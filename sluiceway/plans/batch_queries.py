@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 
 from sluiceway.functions import names
+from sluiceway.functions.time import now_ms
 from sluiceway.model import StreamSpec
 from sluiceway.operators import (
     anchored,
@@ -18,6 +19,7 @@ from sluiceway.operators import (
     rows,
     windows,
 )
+from sluiceway.operators.ordinal import running_ordinal
 from sluiceway.plans.registry import query
 from sluiceway.plans.tables import (
     CONTROL_LOG_SQL,
@@ -26,18 +28,19 @@ from sluiceway.plans.tables import (
     HOUR_MS,
     WORDS_SQL,
     control_log,
+    auctions,
     events,
     halfway,
     indexes,
     market,
+    persons,
     purchases,
     sign_ups,
-    spread,
     table,
     topology_log,
     words,
 )
-from sluiceway.sources import generator, marketplace
+from sluiceway.sources import generator
 from sluiceway.sources.lines import LINES, lines
 
 # --- text ---------------------------------------------------------------------------------
@@ -73,7 +76,7 @@ SHARED_COUNT_SQL = f"WITH {WORDS_SQL} SELECT word, count(*) AS cnt FROM words GR
 @query("shared_count", SHARED_COUNT_SQL)
 def _(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    jobs = [rows.tokenize(spread(docs, "doc_id").where(F.col("doc_id") % 2 == j), "text") for j in (0, 1)]
+    jobs = [rows.tokenize(docs.where(F.col("doc_id") % 2 == j), "text") for j in (0, 1)]
     return counting.shared_count(jobs)
 
 
@@ -91,7 +94,7 @@ def _line_pieces(batches: Iterator) -> Iterator:
 
 @query("flat_map", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def _(spark, sf):
-    docs = spread(table(spark, sf, "documents").select("doc_id", "text"), "doc_id")
+    docs = table(spark, sf, "documents").select("doc_id", "text")
     return rows.flat_map(docs, _line_pieces, "doc_id long, line string")
 
 
@@ -181,54 +184,28 @@ def _(spark, sf):
     return generator.generate_with(indexes(spark, sf), _python_row, "tripled long, parity string")
 
 
-def _scrambled_sql(salt: int) -> str:
-    m = 2**31
-    first = f"(((idx % {m}) * 1103515245 + {12345 + 97 * salt}) % {m})"
-    second = f"(({first} * 69069 + idx + {salt}) % {m})"
-    return f"((({second} >> 3) * 1664525 + {first}) % {m})"
-
-
-def _pick_sql(values: list[str], salt: int) -> str:
-    listed = ", ".join(f"'{v}'" for v in values)
-    return f"([{listed}])[({_scrambled_sql(salt)} % {len(values)} + 1)::INTEGER]"
-
-
-_BACK = f"({_scrambled_sql(4)} % least(idx * 50 // 100 + 1, 1000))"
-_BID = f"({_scrambled_sql(5)} % 10000 + 1)"
-PERSONS_SQL = f"""
+PERSONS_SQL = """
   persons AS (
-    SELECT idx + 1000 AS id,
-      concat({_pick_sql(marketplace.FIRST_NAMES, 1)}, ' ', {_scrambled_sql(2)}) AS name,
-      concat('p', idx + 1000, '@example.com') AS email,
-      {_pick_sql(marketplace.CITIES, 3)} AS city,
-      {marketplace.BASE_MS} + idx * 1000 // 50 AS ms
-    FROM (SELECT event_id AS idx FROM events) WHERE idx < 40000000)
+    SELECT event_id, user_id AS id, c_name AS name, ts, epoch_us(ts) // 1000 AS ms
+    FROM events JOIN customer ON user_id = c_custkey WHERE event_type = 'signup')
 """
-AUCTIONS_SQL = f"""
+AUCTIONS_SQL = """
   auctions AS (
-    SELECT idx + 1000 AS id, concat('item ', {_scrambled_sql(6)}) AS item,
-      idx * 50 // 100 - {_BACK} + 1000 AS seller,
-      {_scrambled_sql(7)} % 5 + 10 AS category,
-      {_BID} AS initial_bid, {_BID} + {_scrambled_sql(8)} % 10000 AS reserve,
-      {marketplace.BASE_MS} + idx * 1000 // 100 AS ms
-    FROM (SELECT event_id AS idx FROM events) WHERE idx < 70000000)
+    SELECT event_id AS id, user_id AS seller, floor(value * 100)::BIGINT AS reserve, ts, epoch_us(ts) // 1000 AS ms
+    FROM events WHERE event_type = 'purchase')
 """
 
 
-@query(
-    "person_source",
-    f"WITH {PERSONS_SQL} SELECT * EXCLUDE (ms), make_timestamp(ms * 1000) AS ts FROM persons",
-)
+@query("person_source", f"WITH {PERSONS_SQL} SELECT id, name, ts FROM persons")
 def _(spark, sf):
-    return marketplace.with_ts(marketplace.persons(indexes(spark, sf)))
+    """New persons: sign-ups with the customer's name."""
+    return persons(spark, sf).select("id", "name", "ts")
 
 
-@query(
-    "auction_source",
-    f"WITH {AUCTIONS_SQL} SELECT * EXCLUDE (ms), make_timestamp(ms * 1000) AS ts FROM auctions",
-)
+@query("auction_source", f"WITH {AUCTIONS_SQL} SELECT id, seller, reserve, ts FROM auctions")
 def _(spark, sf):
-    return marketplace.with_ts(marketplace.auctions(indexes(spark, sf)))
+    """New auctions: purchases, with the value in cents as the reserve."""
+    return auctions(spark, sf).select("id", "seller", "reserve", "ts")
 
 
 @query("before_limit", f"SELECT event_id, event_type FROM events WHERE event_id < {HALF_SQL}")
@@ -243,25 +220,29 @@ def _(spark, sf):
     return generator.from_index(ev, halfway(spark, sf), "event_id")
 
 
-@query(
-    "rate_limit",
-    "SELECT event_id, event_id // 101 AS emit_second, event_id % 101 + 1 AS rate_counter FROM events",
-)
+SECONDS_SQL = """
+  per_second AS (
+    SELECT event_type, epoch_us(ts) // 1000000 * 1000 AS second, count(*) AS rate_counter
+    FROM events GROUP BY 1, 2)
+"""
+
+
+@query("rate_limit", f"WITH {SECONDS_SQL} SELECT second, sum(rate_counter)::BIGINT AS rate_counter, sum(rate_counter) > 100 AS over FROM per_second GROUP BY second")
 def _(spark, sf):
-    ev = table(spark, sf, "events").select("event_id")
-    return generator.paced(ev, marketplace.AUCTION_RATE, "event_id")
+    """Seconds of event time with their number of events, and whether that is over 100."""
+    per_second = counting.event_rates(events(spark, sf), [], "ms")
+    return per_second.withColumn("over", F.col("rate_counter") > 100)
 
 
 @query(
     "event_counters",
-    """SELECT event_type, emit_second, count(*) AS rate_counter,
-      (sum(count(*)) OVER (PARTITION BY event_type ORDER BY emit_second))::BIGINT AS event_counter
-    FROM (SELECT event_type, event_id // 101 AS emit_second FROM events)
-    GROUP BY event_type, emit_second""",
+    f"""WITH {SECONDS_SQL}
+    SELECT event_type, second, rate_counter,
+      (sum(rate_counter) OVER (PARTITION BY event_type ORDER BY second))::BIGINT AS event_counter
+    FROM per_second""",
 )
 def _(spark, sf):
-    ev = generator.paced(table(spark, sf, "events"), marketplace.AUCTION_RATE, "event_id")
-    return counting.event_counters(ev, "event_type", "emit_second")
+    return counting.event_counters(events(spark, sf), "event_type", "ms")
 
 
 # --- rows ---------------------------------------------------------------------------------
@@ -351,6 +332,28 @@ def _(spark, sf):
     return control.previous_in_channel(ev, "ch", "event_id", "event_id", "previous")
 
 
+@query(
+    "in_channel_order",
+    """SELECT ch, event_id, row_number() OVER (PARTITION BY ch ORDER BY event_id) AS place
+    FROM (SELECT event_id, (user_id % 2)::INTEGER AS ch FROM events)""",
+)
+def _(spark, sf):
+    """Rows as a reader gets them channel by channel, with their places in the channel."""
+    ev = table(spark, sf, "events").select((F.col("user_id") % 2).cast("int").alias("ch"), "event_id")
+    placed = running_ordinal(ev, ["ch"], ["event_id"], "place")
+    return rows.in_channel_order(placed, "ch", "event_id").select("ch", "event_id", "place")
+
+
+@query(
+    "wall_clock",
+    "SELECT event_id, epoch_us(ts) // 1000 AS ms, true AS past FROM events",
+)
+def _(spark, sf):
+    """Event time next to the wall clock: everything has happened before now."""
+    ev = events(spark, sf)
+    return ev.select("event_id", "ms", (F.col("ms") <= now_ms()).alias("past"))
+
+
 # --- channels and routes ------------------------------------------------------------------
 
 
@@ -664,18 +667,21 @@ def _(spark, sf):
 _PEOPLE_JOIN = f"""
 WITH {PERSONS_SQL}, {AUCTIONS_SQL}
 SELECT p.id, p.name, a.reserve FROM persons p JOIN auctions a
-ON p.id = a.seller AND p.ms // 1000 = a.ms // 1000
+ON p.id = a.seller AND p.ms // {HOUR_MS} = a.ms // {HOUR_MS}
 """
 
 
+def _people_join(spark, sf):
+    people = persons(spark, sf).select("id", "name", "ms")
+    sold = auctions(spark, sf).select("seller", "reserve", "ms")
+    out = joins.window_join(people, sold, ("id", "seller"), ("ms", "ms"), HOUR_MS)
+    return out.select("id", "name", "reserve")
+
+
 @query("join_output", _PEOPLE_JOIN)
 def _(spark, sf):
-    """New persons who opened an auction in the same second, from the generated streams."""
-    people = marketplace.persons(indexes(spark, sf)).select("id", "name", "ms")
-    sold = marketplace.auctions(indexes(spark, sf)).select("seller", "reserve", "ms")
-    return joins.window_join(people, sold, ("id", "seller"), ("ms", "ms"), 1000).select(
-        "id", "name", "reserve"
-    )
+    """New persons who opened an auction in the same hour."""
+    return _people_join(spark, sf)
 
 
 @query(
@@ -683,29 +689,26 @@ def _(spark, sf):
     f"WITH out AS ({_PEOPLE_JOIN}) SELECT concat_ws(',', id, name, reserve) AS line FROM out",
 )
 def _(spark, sf):
-    people = marketplace.persons(indexes(spark, sf)).select("id", "name", "ms")
-    sold = marketplace.auctions(indexes(spark, sf)).select("seller", "reserve", "ms")
-    out = joins.window_join(people, sold, ("id", "seller"), ("ms", "ms"), 1000)
-    return out.select(names.row_line(F.col("id"), F.col("name"), F.col("reserve")).alias("line"))
+    line = names.row_line(F.col("id"), F.col("name"), F.col("reserve"))
+    return _people_join(spark, sf).select(line.alias("line"))
 
 
 @query(
     "new_sellers_anchored",
     f"""WITH RECURSIVE {PERSONS_SQL}, {AUCTIONS_SQL},
-    {anchored_sql('''SELECT id AS event_id, (id % 2)::INTEGER AS ch, ms, ms * 2 + 1 AS ord, 'person' AS kind,
+    {anchored_sql(f'''SELECT event_id, abs({_LONG_HASH.replace("user_id", "id")} % 2)::INTEGER AS ch, ms, ms AS ord, 'person' AS kind,
       id AS key, name, NULL::BIGINT AS reserve FROM persons
-    UNION ALL SELECT id + 1000000000000, (seller % 2)::INTEGER, ms, ms * 2 + 1, 'auction', seller, NULL, reserve
-    FROM auctions''', 1000)}
+    UNION ALL SELECT id, abs({_LONG_HASH.replace("user_id", "seller")} % 2)::INTEGER, ms, ms, 'auction', seller, NULL, reserve
+    FROM auctions''', HOUR_MS)}
     SELECT p.key AS id, p.name, a.reserve FROM placed p
     JOIN placed a ON p.ch = a.ch AND p.win = a.win AND p.key = a.key
     WHERE p.kind = 'person' AND a.kind = 'auction' AND p.closed AND NOT p.is_closer AND NOT a.is_closer""",
 )
 def _(spark, sf):
-    """The whole second job: generated persons and auctions, one-second anchored windows."""
+    """The whole second job: persons and auctions, one-hour anchored windows."""
     from sluiceway.plans.new_sellers import new_sellers
 
-    people = marketplace.persons(indexes(spark, sf))
-    return new_sellers(people, marketplace.auctions(indexes(spark, sf)), 2, 1000)
+    return new_sellers(persons(spark, sf), auctions(spark, sf), 2, HOUR_MS)
 
 
 @query(

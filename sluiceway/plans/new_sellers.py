@@ -9,15 +9,15 @@ from sluiceway.operators.channels import hash_channel
 from sluiceway.operators.joins import window_join_anchored
 from sluiceway.operators.rows import union_tagged
 
-_AUCTION_TIES = 1_000_000_000_000  # auctions follow persons of the same millisecond
-
 
 def merged(persons: DataFrame, auctions: DataFrame, n: int) -> DataFrame:
-    """Both streams as one, keyed, with channel and arrival tie-breaker."""
-    people = persons.select(F.col("id").alias("key"), F.col("id").alias("tie"), "ms", "name")
-    sold = auctions.select(
-        F.col("seller").alias("key"), (F.col("id") + _AUCTION_TIES).alias("tie"), "ms", "reserve"
-    )
+    """Both streams as one, keyed, with channel and arrival tie-breaker.
+
+    ``persons`` has ``tie, id, ms, name``; ``auctions`` has ``id, seller, ms, reserve``, where the
+    id breaks ties. Ties are unique over both.
+    """
+    people = persons.select(F.col("id").alias("key"), "tie", "ms", "name")
+    sold = auctions.select(F.col("seller").alias("key"), F.col("id").alias("tie"), "ms", "reserve")
     both = union_tagged({"person": people, "auction": sold})
     return both.withColumn("ch", hash_channel(both, "key", n))
 

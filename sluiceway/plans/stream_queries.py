@@ -29,13 +29,10 @@ from sluiceway.plans.tables import (
     table,
 )
 from sluiceway.session import shared_dir
-from sluiceway.sources import marketplace
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.sources.generator import index_stream, rate_limited
-from sluiceway.sources.lines import lines
 from sluiceway.streaming import channels, counting, handover, sinks, state, windows
 from sluiceway.streaming.control import changelog_stream
-from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, writer
+from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
 from sluiceway.streaming.tables import all_batches, batch_table, last_batch, latest_rows, put_batch
 
 
@@ -121,17 +118,16 @@ def _(spark, sf):
 
 @query(
     "stream_tumbling_counts",
-    f"""WITH c AS (SELECT epoch_ms(ts) - epoch_ms(ts) % {HOUR_MS} AS window_ms, count(*) AS cnt
-      FROM events GROUP BY 1)
-    SELECT * FROM c WHERE window_ms + {HOUR_MS} <= (SELECT max(epoch_ms(ts)) FROM events)""",
+    f"""SELECT epoch_ms(ts) - epoch_ms(ts) % {HOUR_MS} AS window_ms, count(*) AS cnt
+      FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    """Windows that are final when the input ends."""
+    """All windows: those that are final and, as they stand, those still open."""
     root = shared_dir(spark, "stream-tumbling")
     ev = with_event_time(table_stream(spark, sf, "events")).select("ts")
     out = windows.tumbling_counts_stream(ev, "ts", "1 hour", "0 seconds")
-    drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    drain(with_batches(out, f"{root}/checkpoint", lambda b, n: put_batch(b, f"{root}/out", n), "update"))
+    return latest_rows(spark, f"{root}/out", "window_ms long, cnt long", ["window_ms"])
 
 
 @query("stream_anchored_window", batch.ANCHORED_SQL)
@@ -213,15 +209,12 @@ def _(spark, sf):
     return spark.read.schema(routed.schema).parquet(f"{root}/out")
 
 
-@query(
-    "stream_lines_source",
-    f"WITH {batch.LINES_SQL} SELECT idx, line FROM text_lines",
-)
+@query("stream_lines_source", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def _(spark, sf):
-    """The index source emits as many indexes as there are events, rate-limited per batch."""
+    """The lines of all texts as a stream, until it is paused."""
     root = shared_dir(spark, "stream-lines")
-    n = table(spark, sf, "events").count()
-    out = lines(index_stream(spark, rows_per_batch=max(1, -(-n // 4)), stop=n))
+    docs = table_stream(spark, sf, "documents")
+    out = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
     build = lambda: writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out")
     Switchable(build).pause()
     return spark.read.schema(out.schema).parquet(f"{root}/out")
@@ -234,16 +227,20 @@ def _(spark, sf):
     UNION ALL SELECT 'auction', id, seller, NULL, reserve, ms FROM auctions""",
 )
 def _(spark, sf):
-    """Rate-limited person and auction streams, merged; the sources stop at the table's size."""
+    """Streams of persons (sign-ups with the customer's name) and auctions, merged."""
     root = shared_dir(spark, "stream-market")
-    n = table(spark, sf, "events").count()
-    per_batch = max(1, -(-n // 2))
-    people = marketplace.persons(rate_limited(spark, per_batch, stop=n))
-    sold = marketplace.auctions(rate_limited(spark, per_batch, stop=n))
+    ev = table_stream(spark, sf, "events")
+    ev = ev.withColumn("ms", epoch_ms(ev, "ts"))
+    customers = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("name"))
+    people = ev.where("event_type = 'signup'").join(customers, F.col("user_id") == F.col("c_custkey"))
+    sold = ev.where("event_type = 'purchase'")
     both = union_tagged(
         {
-            "person": people.select("id", F.col("id").alias("key"), "name", "ms"),
-            "auction": sold.select("id", F.col("seller").alias("key"), "reserve", "ms"),
+            "person": people.select(F.col("user_id").alias("id"), F.col("user_id").alias("key"), "name", "ms"),
+            "auction": sold.select(
+                F.col("event_id").alias("id"), F.col("user_id").alias("key"),
+                F.floor(F.col("value") * 100).cast("long").alias("reserve"), "ms",
+            ),
         }
     )
     out = both.select("kind", "id", "key", "name", "reserve", "ms")
@@ -295,7 +292,7 @@ def _(spark, sf):
 
 
 _TYPE_COUNTS_SQL = """
-SELECT event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS cnt FROM events
+SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS cnt FROM events
 """
 
 
@@ -323,7 +320,7 @@ def _(spark, sf):
     job.follow(status(RUNNING), "Counter")
     job.pause()
     out = all_batches(spark, f"{root}/out", "word string, event_id long, cnt long")
-    return out.select(F.col("word").alias("event_type"), "cnt")
+    return out.select("event_id", F.col("word").alias("event_type"), "cnt")
 
 
 @query("handover", _TYPE_COUNTS_SQL)
@@ -345,7 +342,7 @@ def _(spark, sf):
     handover.handover(spark, f"{root}/channel", _EVENT, operator("a"), operator("b"), cut=1)
     schema = "word string, event_id long, cnt long"
     a, b = (all_batches(spark, f"{root}/{n}/out", schema) for n in "ab")
-    return a.unionByName(b).select(F.col("word").alias("event_type"), "cnt")
+    return a.unionByName(b).select("event_id", F.col("word").alias("event_type"), "cnt")
 
 
 @query("handover_keyed_state", _TYPE_COUNTS_SQL)
@@ -355,14 +352,14 @@ def _(spark, sf):
     _park_events(spark, sf, root)
 
     def build(rows: DataFrame, checkpoint: str, start: DataFrame | None):
-        out = state.counting_state(rows.select("event_type"), "event_type", start=start)
+        out = state.counting_state(rows.select("event_id", "event_type"), "event_type", "event_id", start=start)
         return writer(out, checkpoint).format("parquet").option("path", f"{checkpoint}-out")
 
     def operator(name: str) -> handover.Operator:
         return handover.Operator(f"{root}/{name}", build, lambda c: state.read_state(spark, c))
 
     handover.handover(spark, f"{root}/channel", _EVENT, operator("a"), operator("b"), cut=1)
-    schema = "event_type string, cnt long"
+    schema = "event_id long, event_type string, cnt long"
     a, b = (spark.read.schema(schema).parquet(f"{root}/{n}-out") for n in "ab")
     return a.unionByName(b)
 
@@ -390,10 +387,10 @@ def _(spark, sf):
 @query("keyed_state", _TYPE_COUNTS_SQL)
 def _(spark, sf):
     root = shared_dir(spark, "keyed-state")
-    ev = table_stream(spark, sf, "events").select("event_type")
-    out = state.counting_state(ev, "event_type")
+    ev = table_stream(spark, sf, "events").select("event_id", "event_type")
+    out = state.counting_state(ev, "event_type", "event_id")
     drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
-    return spark.read.schema("event_type string, cnt long").parquet(f"{root}/out")
+    return spark.read.schema("event_id long, event_type string, cnt long").parquet(f"{root}/out")
 
 
 @query(
@@ -426,3 +423,15 @@ def _(spark, sf):
     out = ev.select("event_id", hash_channel(ev, "user_id", 4).alias("ch"))
     drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
     return spark.read.schema(out.schema).parquet(f"{root}/out")
+
+
+@query("discard_sink", "SELECT event_type, count(*) AS rows FROM events GROUP BY event_type")
+def _(spark, sf):
+    """Rows are thrown away; a tap before the sink has counted them by type."""
+    root = shared_dir(spark, "discard-sink")
+    ev = table_stream(spark, sf, "events").select("event_type")
+    counts = counting.word_count_stream(ev.withColumnRenamed("event_type", "word"), f"{root}/out", f"{root}/tap")
+    drain(sinks.discard_sink(ev, f"{root}/checkpoint"))
+    drain(counts)
+    seen = latest_rows(spark, f"{root}/out", "word string, cnt long", ["word"])
+    return seen.select(F.col("word").alias("event_type"), F.col("cnt").alias("rows"))

@@ -32,12 +32,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Use all cores for row-wise work on a table that was written as fewer splits than cores."""
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores, key)
-
-
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = table(spark, sf_dir, "events")
     return df.select("event_id", "user_id", "event_type", "value", epoch_ms(df, "ts").alias("ms"))
@@ -51,7 +45,7 @@ def indexes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``doc_id, pos, word`` of all documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tokenize(spread(docs, "doc_id"), "text")
+    return tokenize(docs, "text")
 
 
 def sign_ups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,17 +62,29 @@ def purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def persons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``tie, id, name, ts, ms``: sign-ups with the name of the customer."""
+    ev = table(spark, sf_dir, "events").where("event_type = 'signup'")
+    ev = ev.select(F.col("event_id").alias("tie"), F.col("user_id").alias("id"), "ts", epoch_ms(ev, "ts").alias("ms"))
+    names = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
+    return ev.join(names, "id")
+
+
+def auctions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, seller, reserve, ts, ms``: purchases, the value in cents as the reserve."""
+    ev = table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return ev.select(
+        F.col("event_id").alias("id"), F.col("user_id").alias("seller"),
+        F.floor(F.col("value") * 100).cast("long").alias("reserve"), "ts", epoch_ms(ev, "ts").alias("ms"),
+    )
+
+
 def market(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Persons and auctions in one stream, with the channel of their key."""
     both = union_tagged({"person": sign_ups(spark, sf_dir), "auction": purchases(spark, sf_dir)})
     return both.withColumn("ch", (F.col("user_id") % CHANNELS).cast("int"))
 
 
-def last_index(spark: SparkSession, sf_dir: str, table_name: str, column: str) -> DataFrame:
-    """One row: the highest index of a table, a statistic of its key column."""
-    return table(spark, sf_dir, table_name).agg(F.max(column).alias("last"))
-
-
 def halfway(spark: SparkSession, sf_dir: str):
     """The event index that splits the events in two halves, as a scalar subquery."""
     top = table(spark, sf_dir, "events").agg(F.expr("(max(event_id) + 1) div 2").alias("half"))

@@ -38,10 +38,14 @@ def _local_root() -> str:
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A new, unused folder path below ``spark.checkpoint.dir``.
 
-    The cluster names that folder and every executor can reach it. Only where it is unset
-    (tests, a laptop) a temporary folder takes its place.
+    The cluster names that folder and every executor can reach it. Only in local mode (tests, a
+    laptop) a temporary folder can take its place; elsewhere an unset folder is an error.
     """
-    root = spark.conf.get("spark.checkpoint.dir", "") or _local_root()
+    root = spark.conf.get("spark.checkpoint.dir", "")
+    if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = _local_root()
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 

@@ -28,15 +28,14 @@ def channel_stream(
     schema: StructType,
     channels: list[int] | None = None,
     epochs: tuple[int, int | None] = (0, None),
-    max_files: int = 1000,
 ) -> DataFrame:
-    """The same as a stream; the checkpoint of the query remembers which files were taken."""
+    """The same as a stream; the checkpoint of the query remembers which files were taken.
 
-    def open_stream(path: str) -> DataFrame:
-        reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-        return reader.parquet(path)
-
-    return _select(open_stream, streams, channels, epochs)
+    A micro-batch takes all files that are there, so what was parked before a query starts is
+    never cut in the order of file names. Stateful operators order a micro-batch by the rows' own
+    position (event time, sequence number), and results don't depend on the number of files.
+    """
+    return _select(lambda path: spark.readStream.schema(schema).parquet(path), streams, channels, epochs)
 
 
 def _select(open_one, streams: dict[str, str], channels, epochs) -> DataFrame:

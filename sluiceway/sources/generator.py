@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPartition
 
-from sluiceway.functions.numbers import whole
+from sluiceway.session import written
 
 
 def index_range(spark: SparkSession, stop: int, start: int = 0) -> DataFrame:
@@ -32,7 +32,8 @@ def generate_with(
     """As ``generate`` with a Python function; it runs per Arrow batch and ``None`` ends the source.
 
     Indexes after the first ``None`` are found by an aggregate, not by running in order, so the
-    partitions stay independent. ``make`` should be cheap and must depend on its index alone.
+    partitions stay independent. The made rows are written once, so ``make`` runs once per index;
+    it must depend on its index alone.
     """
     from pyspark.sql.types import StructField, StructType, _parse_datatype_string
 
@@ -51,7 +52,7 @@ def generate_with(
 
     full = StructType.fromDDL("idx long, _end boolean")
     full = StructType([*full.fields, *[StructField(f.name, f.dataType) for f in payload.fields]])
-    made = indexes.select(index).mapInPandas(rows, full)
+    made = written(indexes.select(index).mapInPandas(rows, full), "generated")
     first_end = made.where("_end").agg(F.min("idx")).scalar()
     return made.where(F.coalesce(F.col("idx") < first_end, F.lit(True))).drop("_end")
 
@@ -66,18 +67,6 @@ def from_index(df: DataFrame, start: int | Column, index: str) -> DataFrame:
     return df.where(F.col(index) >= start)
 
 
-def paced(df: DataFrame, rate: int, index: str) -> DataFrame:
-    """Second in which a rate-limited source emits each row, and its place in that second.
-
-    The limiter sleeps once its counter exceeds ``rate``, so a second carries ``rate + 1`` rows.
-    """
-    per_second = F.lit(rate + 1).cast("long")
-    place = F.pmod(F.col(index), per_second)
-    return df.withColumn("emit_second", whole(F.col(index), rate + 1)).withColumn(
-        "rate_counter", place + 1
-    )
-
-
 class _Range(InputPartition):
     def __init__(self, start: int, stop: int):
         self.start, self.stop = start, stop
@@ -133,11 +122,6 @@ class IndexSource(DataSource):
         return _IndexReader(self.options)
 
 
-def rate_limited(spark: SparkSession, rate: int, start: int = 0, stop: int | None = None):
-    """Indexes at ``rate + 1`` rows per micro-batch; run it with one micro-batch per second."""
-    return index_stream(spark, rate + 1, start, stop)
-
-
 def index_stream(spark: SparkSession, rows_per_batch: int, start: int = 0, stop: int | None = None):
     spark.dataSource.register(IndexSource)
     reader = spark.readStream.format("running-index")

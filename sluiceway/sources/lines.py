@@ -54,9 +54,3 @@ def lines(indexes: DataFrame, index: str = "idx") -> DataFrame:
 
 def lines_source(spark: SparkSession, stop: int, start: int = 0) -> DataFrame:
     return lines(spark.range(start, stop).withColumnRenamed("id", "idx"))
-
-
-def lines_stream(spark: SparkSession, rows_per_second: int = 1) -> DataFrame:
-    """One line per second by default; the rate source's offsets survive a restart."""
-    rate = spark.readStream.format("rate").option("rowsPerSecond", rows_per_second).load()
-    return lines(rate, "value")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from sluiceway.model import DURABLE
 from sluiceway.streaming.runs import writer
 
 PARTITIONS = ("channel", "epoch")
@@ -28,9 +27,3 @@ def channel_write(
 def append_to_channels(rows: DataFrame, path: str, channel: str = "ch", epoch: int = 0) -> None:
     """Append a batch to the channels."""
     parked(rows, channel, epoch).write.mode("append").partitionBy(*PARTITIONS).parquet(path)
-
-
-def split_paths(routed: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Native and durable rows of a routed stream."""
-    durable = F.col("channel_type") == DURABLE
-    return routed.where(~durable), routed.where(durable)

@@ -29,11 +29,6 @@ def with_batches(
     return writer(df, checkpoint, mode).foreachBatch(handle)
 
 
-def each_second(writer: DataStreamWriter) -> DataStreamWriter:
-    """One micro-batch per second: with a source's rows per batch, a rate limit."""
-    return writer.trigger(processingTime="1 second")
-
-
 class Switchable:
     """A streaming query that can be paused and resumed without losing or repeating rows.
 

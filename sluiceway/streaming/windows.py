@@ -118,7 +118,7 @@ def window_join_anchored_stream(
             closed = closed_windows(edges).withColumnRenamed("_ch", channel)
             out = join_placed(inside, closed, kinds, channel, key, columns)
             put_batch(out, f"{path}/out", number)
-            still = inside.join(F.broadcast(closed), channel, "left").where(
+            still = inside.join(closed, channel, "left").where(
                 F.col("_closed").isNull() | (F.col("win") > F.col("_closed"))
             )
             put_batch(still.drop("_closed").select(*inside.columns), f"{path}/open", number)

@@ -5,7 +5,8 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from sluiceway.operators.counting import running_count, shared_count, word_count
+from sluiceway.operators.control import previous_in_channel
+from sluiceway.operators.counting import event_counters, running_count, shared_count, word_count
 from sluiceway.operators.lookup import lookup
 from sluiceway.operators.ordinal import running_ordinal
 from sluiceway.plans.wordcount import wordcount
@@ -48,6 +49,24 @@ def test_running_count_goes_on(spark, hot_rows):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
 
 
+@pytest.mark.parametrize("hot_rows", [10_000_000, 5])
+def test_null_keys_are_counted(spark, hot_rows):
+    df = spark.range(40).select(F.when(F.col("id") % 4 > 0, F.lit(None)).otherwise("w").alias("word"), "id")
+    start = spark.createDataFrame([(None, 100)], "word string, cnt long")
+    got = {r.id: r.cnt for r in running_count(df, ["id"], start=start, hot_rows=hot_rows).collect()}
+    nulls = [i for i in range(40) if i % 4]
+    assert [got[i] for i in nulls] == list(range(101, 131)) and len(got) == 40
+    before = previous_in_channel(df, "word", "id", "id", "previous", block_rows=8).collect()
+    assert {r.id: r.previous for r in before if r.word is None} == dict(zip(nulls, [None, *nulls]))
+
+
+def test_event_counters_in_blocks(spark):
+    df = spark.range(500).select((F.col("id") % 2).alias("s"), (F.col("id") * 700).alias("ms"))
+    got = {(r.s, r.second): r.event_counter for r in event_counters(df, "s", "ms", block_ms=4000).collect()}
+    for (s, second), total in got.items():
+        assert total == sum(1 for i in range(500) if i % 2 == s and i * 700 < second + 1000)
+
+
 def test_ordinal_over_all_rows(spark):
     df = spark.range(1000).select((F.col("id") * 17 % 1000).alias("k"))
     for hot_rows in (10_000_000, 30):

@@ -2,8 +2,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sluiceway.operators.rows import envelope, flat_map, union_tagged, unwrap
-from sluiceway.sources import generator, marketplace
+from sluiceway.operators.rows import envelope, flat_map, flat_map_rows, union_tagged, unwrap
+from sluiceway.sources import generator
 
 
 def test_generator_ends_at_the_first_end(spark):
@@ -21,35 +21,15 @@ def test_generator_function_ends_at_none(spark):
     assert got == sorted((i, f"r{i}") for i in range(5, 30))
 
 
-def test_ranges_can_be_generated_apart(spark):
-    whole = marketplace.auction_source(spark, 300)
-    parts = marketplace.auction_source(spark, 100).unionByName(marketplace.auction_source(spark, 300, 100))
-    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
-
-
-def test_auctions_have_known_sellers(spark):
-    sold = marketplace.auctions(generator.index_range(spark, 5000))
-    people = marketplace.persons(generator.index_range(spark, 2500))
-    assert sold.join(people, sold.seller == people.id, "left_anti").count() == 0
-    assert sold.where("reserve < initial_bid").count() == 0
-    assert sold.select("seller").distinct().count() > 500
-
-
-def test_limits_are_part_of_the_source(spark):
-    beyond = spark.createDataFrame([(70_000_000,), (39_999_999,), (40_000_000,)], "idx long")
-    assert marketplace.auctions(beyond).count() == 2
-    assert marketplace.persons(beyond).count() == 1
-
-
 def test_limit_reaches_the_scan(spark, small):
     df = generator.before(spark.read.parquet(f"{small}/events.parquet"), 100, "event_id")
     assert "LessThan(event_id,100)" in df._jdf.queryExecution().executedPlan().toString()
 
 
-def test_pacing(spark):
-    out = generator.paced(generator.index_range(spark, 250), 100, "idx")
-    per_second = {r.emit_second: r.n for r in out.groupBy("emit_second").agg(F.count("*").alias("n")).collect()}
-    assert per_second == {0: 101, 1: 101, 2: 48}
+def test_flat_map_rows_keeps_types(spark):
+    df = spark.createDataFrame([(2**60 + 1, None), (3, "x")], "n long, s string")
+    got = flat_map_rows(df, lambda row: [row, row] if row["s"] is None else None, "n long, s string").collect()
+    assert [tuple(r) for r in got] == [(2**60 + 1, None)] * 2
 
 
 def test_flat_map_drops_and_multiplies(spark):

@@ -56,6 +56,32 @@ def test_handover_equals_one_uninterrupted_run(spark, cut):
     assert sorted(got) == sorted(map(tuple, want.collect()))
 
 
+def test_handover_does_not_depend_on_the_files(spark):
+    """Eight files per epoch, written in shuffled order of their rows, give every row its count."""
+    root = shared_dir(spark, "test-files")
+    rows = word_rows(spark)
+    for epoch, (low, high) in enumerate([(0, 60), (60, 120)]):
+        for k in (5, 2, 7, 0, 3, 6, 1, 4):
+            part = rows.where((F.col("seq") >= low) & (F.col("seq") < high) & (F.col("seq") % 8 == k))
+            channels.append_to_channels(part.coalesce(1), f"{root}/in", epoch=epoch)
+
+    def operator(name):
+        def build(df, checkpoint, start):
+            out = state.counting_state(df.select("seq", "word"), "word", "seq", start=start)
+            return writer(out, checkpoint).format("parquet").option("path", f"{root}/{name}-out")
+
+        return handover.Operator(f"{root}/{name}-cp", build, lambda c: state.read_state(spark, c))
+
+    handover.handover(spark, f"{root}/in", SCHEMA, operator("a"), operator("b"), cut=1)
+    got = [
+        tuple(r)
+        for name in "ab"
+        for r in spark.read.schema("seq long, word string, cnt long").parquet(f"{root}/{name}-out").collect()
+    ]
+    want = running_count(rows.select("seq", "word"), ["seq"]).select("seq", "word", "cnt")
+    assert sorted(got) == sorted(map(tuple, want.collect()))
+
+
 def test_one_instance_moves_and_the_other_stays(spark):
     """Only channel 1 is handed over; channel 0 stays with the old query."""
     root = shared_dir(spark, "test-instance")
@@ -64,7 +90,8 @@ def test_one_instance_moves_and_the_other_stays(spark):
 
     def build(name):
         def writer_of(df, checkpoint, start):
-            out = state.counting_state(df.select(F.concat_ws("/", "ch", "word").alias("k")), "k", start=start)
+            keyed = df.select("seq", F.concat_ws("/", "ch", "word").alias("k"))
+            out = state.counting_state(keyed, "k", "seq", start=start)
             return writer(out, checkpoint).format("parquet").option("path", f"{root}/{name}-out")
 
         return handover.Operator(f"{root}/{name}-cp", writer_of, lambda c: state.read_state(spark, c))
@@ -76,10 +103,12 @@ def test_one_instance_moves_and_the_other_stays(spark):
     stay = channel_stream(spark, {"in": f"{root}/in"}, schema, [0])
     drain(build("c").build(stay, f"{root}/c-cp", None))
     got = sorted(
-        tuple(r) for n in "abc" for r in spark.read.schema("k string, cnt long").parquet(f"{root}/{n}-out").collect()
+        tuple(r)
+        for n in "abc"
+        for r in spark.read.schema("seq long, k string, cnt long").parquet(f"{root}/{n}-out").collect()
     )
-    totals = rows.groupBy(F.concat_ws("/", "ch", "word").alias("k")).count().collect()
-    assert got == sorted((r.k, i) for r in totals for i in range(1, r["count"] + 1))
+    keyed = rows.select("seq", F.concat_ws("/", "ch", "word").alias("word"))
+    assert got == sorted((r.seq, r.word, r.cnt) for r in running_count(keyed, ["seq"]).collect())
 
 
 @pytest.mark.parametrize("finish", [True, False])
