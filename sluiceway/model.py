@@ -44,6 +44,3 @@ class StreamSpec:
     def queue(self, channel: int) -> str:
         """Physical name of one channel."""
         return f"{self.id}-{channel}"
-
-
-@dataclass(frozen=True)
