@@ -18,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.numbers import floored
@@ -29,17 +29,19 @@ from sluiceway.session import written
 ARRIVAL_BLOCK_ROWS = 1 << 18
 TIME_BLOCK_MS = 1 << 21
 FAN_IN = 64
+STEPS_IN_GROUP = 1 << 23
 _STEPS_PER_BATCH = 100_000
 _ROWS_PER_BATCH = 10_000
 
 _MAP_SCHEMA = (
     "_ch int, _part long, unset_exit long, unset_opened long, "
-    "upto array<long>, exits array<long>, opened array<long>"
+    "upto array<long>, exits array<long>, opened array<long>, below long"
 )
 _MAP_ARROW = pa.schema(
     [("_ch", pa.int32()), ("_part", pa.int64()), ("unset_exit", pa.int64())]
     + [("unset_opened", pa.int64())]
     + [(name, pa.list_(pa.int64())) for name in ("upto", "exits", "opened")]
+    + [("below", pa.int64())]
 )
 _ENTRY_SCHEMA = "_ch int, _part long, anchor long, opened long"
 
@@ -53,6 +55,7 @@ def _maps_of(pdf: pd.DataFrame) -> list[AnchorMap]:
             np.asarray(r.upto, dtype=np.int64),
             np.asarray(r.exits, dtype=np.int64),
             np.asarray(r.opened, dtype=np.int64),
+            int(r.below),
         )
         for r in pdf.itertuples()
     ]
@@ -67,6 +70,7 @@ def _map_fields(ch: int, part: int, m: AnchorMap) -> dict:
         "upto": m.upto,
         "exits": m.exits,
         "opened": m.opened,
+        "below": m.below,
     }
 
 
@@ -145,19 +149,26 @@ def _numbered(
     With ``arrival_is_time`` only anchors and closers are given back.
 
     ``(_ch, _part)`` blocks must have a bounded size and follow ``_seq``. The exchange below feeds
-    both passes. A map has at most one step per row of its block, and in time order at most one
-    per millisecond of ``width_ms``; steps with the same outcome are merged. ``FAN_IN`` maps make
-    a run, and one group walks the runs of a channel (or the runs of runs), so no group sees the
-    rows themselves.
+    both passes. A map is told the latest event time before its block, carried anchors included:
+    no later anchor can enter, so a map, and any chain of maps, has at most one step per
+    millisecond of ``width_ms`` and of the lateness of rows. Runs have as many maps as hold
+    ``STEPS_IN_GROUP`` steps, ``FAN_IN`` at most, and there are as many levels of runs as it
+    takes, so no group sees the rows themselves or more than a bounded number of steps.
     """
     rows = rows.repartition("_ch", "_part")
-    prune = arrival_is_time and carry is None
+    earlier = Window.partitionBy("_ch").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    peaks = rows.groupBy("_ch", "_part").agg(F.max("_ms").alias("_peak"))
+    peaks = peaks.select("_ch", "_part", F.max("_peak").over(earlier).alias("_peak"))
+    if carry is not None:
+        anchors = carry.select(F.col("ch").cast("int").alias("_ch"), F.col("anchor").alias("_anchor"))
+        peaks = peaks.join(anchors, "_ch", "left").select("_ch", "_part", F.greatest("_peak", "_anchor").alias("_peak"))
 
     def summarise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done, steps = [], 0
         for (ch, part), block in _blocks(batches):
             ms = block.column("_ms").to_numpy()
-            m = block_map(ms, width_ms, int(ms[0]) if prune else None)
+            peak = block.column("_peak")[0].as_py()
+            m = block_map(ms, width_ms, UNSET + 1 if peak is None else peak + 1)
             done.append(_map_fields(ch, part, m))
             steps += len(m.upto) + 1
             if steps > _STEPS_PER_BATCH:
@@ -166,12 +177,17 @@ def _numbered(
         if done:
             yield pa.RecordBatch.from_pylist(done, _MAP_ARROW)
 
-    ordered = rows.sortWithinPartitions("_ch", "_part", "_seq")
-    levels = [_in_runs(ordered.mapInArrow(summarise, _MAP_SCHEMA), FAN_IN)]
-    # In time order the number of blocks grows with the covered time, else with the rows.
-    for _ in range(0 if arrival_is_time else 1):
-        levels.append(_in_runs(_chain(levels[-1]), FAN_IN))
-    levels.append(_in_runs(_chain(levels[-1]), None))
+    known = rows.select("_ch", "_part", "_seq", "_ms").join(peaks, ["_ch", "_part"], "left")
+    maps = known.sortWithinPartitions("_ch", "_part", "_seq").mapInArrow(summarise, _MAP_SCHEMA)
+    maps = written(maps, "window-maps")
+    span = F.max("_part") - F.min("_part") + 1
+    steps, parts = maps.agg(F.max(F.size("upto")), span).first()
+    fan_in = max(2, min(FAN_IN, STEPS_IN_GROUP // max(1, steps or 1)))
+    levels, parts = [_in_runs(maps, fan_in)], (parts or 1) // fan_in + 2
+    while parts > max(4, fan_in):
+        levels.append(_in_runs(_chain(levels[-1]), fan_in))
+        parts = parts // fan_in + 2
+    levels.append(_in_runs(_chain(levels[-1]), None))  # at most that many runs are left
     if carry is not None:
         carry = carry.select(
             F.col("ch").cast("int").alias("_ch"),

@@ -13,12 +13,14 @@ from dataclasses import dataclass
 import numpy as np
 
 UNSET = np.iinfo(np.int64).min
+ANY = np.iinfo(np.int64).max
 
 
 @dataclass
 class AnchorMap:
     """Anchor after a block, and windows opened inside it, for every anchor before it.
 
+    No anchor at or above ``below`` can enter, and steps for such anchors are left out.
     Entry ``UNSET`` gives ``unset_exit``. Entry ``a`` takes the first step with ``a <= upto``;
     above the last step the block closes nothing and ``a`` passes through.
     """
@@ -28,6 +30,7 @@ class AnchorMap:
     upto: np.ndarray
     exits: np.ndarray
     opened: np.ndarray
+    below: int = ANY
 
     def __call__(self, entry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         entry = np.asarray(entry, dtype=np.int64)
@@ -54,7 +57,18 @@ class AnchorMap:
             np.concatenate([self.upto, later.upto[passed]]),
             np.concatenate([exits[:-1], later.exits[passed]]),
             np.concatenate([opened[:-1], later.opened[passed]]),
-        ).merged()
+            self.below,
+        ).pruned().merged()
+
+    def pruned(self) -> AnchorMap:
+        """Without the steps that no entry can take."""
+        keep = self.upto[:-1] < self.below
+        if keep.all():
+            return self
+        keep = np.append(True, keep)
+        return AnchorMap(
+            self.unset_exit, self.unset_opened, self.upto[keep], self.exits[keep], self.opened[keep], self.below
+        )
 
     def merged(self) -> AnchorMap:
         """Join neighbouring steps with the same outcome."""
@@ -64,7 +78,8 @@ class AnchorMap:
             (self.exits[1:] != self.exits[:-1]) | (self.opened[1:] != self.opened[:-1]), True
         )
         return AnchorMap(
-            self.unset_exit, self.unset_opened, self.upto[last], self.exits[last], self.opened[last]
+            self.unset_exit, self.unset_opened, self.upto[last], self.exits[last], self.opened[last],
+            self.below,
         )
 
 
@@ -111,12 +126,9 @@ def block_map(ms: np.ndarray, width: int, entry_below: int | None = None) -> Anc
     rising = np.append(True, peaks[1:] > peaks[:-1])
     record = np.flatnonzero(rising)
     upto = peaks[record] - width
-    if entry_below is not None:
-        keep = np.append(True, upto[:-1] < entry_below)
-        record, upto = record[keep], upto[keep]
-    return AnchorMap(
-        int(final[0]), int(opened[0]), upto, final[record + 1], opened[record + 1]
-    ).merged()
+    below = ANY if entry_below is None else entry_below
+    m = AnchorMap(int(final[0]), int(opened[0]), upto, final[record + 1], opened[record + 1], below)
+    return m.pruned().merged()
 
 
 def replay(ms: np.ndarray, width: int, anchor: int, window: int):

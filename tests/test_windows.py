@@ -143,3 +143,29 @@ def test_key_positions(spark):
     left = spark.createDataFrame([("a", 1), ("b", 2)], "x string, y long")
     right = spark.createDataFrame([(2, "z"), (3, "q")], "u long, v string")
     assert [tuple(r) for r in key_equality(left, right, 1, 0).collect()] == [("b", 2, 2, "z")]
+
+
+@pytest.mark.parametrize("width,late", [(1000, 0), (1000, 300), (3_600_000, 0)])
+def test_maps_stay_bounded(width, late):
+    """Rows one millisecond apart: chained maps have no more steps than the width and lateness."""
+    rng = np.random.default_rng(1)
+    ms = np.arange(40_000) * (1 if width == 1000 else 500) - rng.integers(0, late + 1, 40_000)
+    blocks = np.array_split(ms, 20)
+    peaks = np.maximum.accumulate([b.max() for b in blocks])
+    maps = [block_map(b, width, UNSET + 1 if i == 0 else int(peaks[i - 1]) + 1) for i, b in enumerate(blocks)]
+    bound = width + 2 * late + 2
+    assert all(len(m.upto) <= bound for m in maps)
+    total = maps[0]
+    state, opened = np.array([UNSET]), 0
+    for m in maps[1:]:
+        total = total.then(m)
+        assert len(total.upto) <= bound
+    tail = maps[5]
+    for m in maps[6:]:
+        tail = tail.then(m)
+        assert len(tail.upto) <= bound
+    for m in maps:
+        state, more = m(state)
+        opened += int(more[0])
+    exits, more = total(np.array([UNSET]))
+    assert int(exits[0]) == int(state[0]) and int(more[0]) == opened
