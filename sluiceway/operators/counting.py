@@ -48,12 +48,6 @@ def shared_count(jobs: list[DataFrame], word: str = "word") -> DataFrame:
     return word_count(merge_inputs([job.select(word) for job in jobs]), word)
 
 
-def add_counts(before: DataFrame, after: DataFrame, word: str = "word") -> DataFrame:
-    """Merge two count tables."""
-    both = before.select(word, "cnt").unionByName(after.select(word, "cnt"))
-    return both.groupBy(word).agg(F.sum("cnt").alias("cnt"))
-
-
 def event_rates(events: DataFrame, sources: list[str], ms: str) -> DataFrame:
     """Rows per source and second of event time."""
     second = bucket_start(F.col(ms), 1000).alias("second")

@@ -31,9 +31,9 @@ from sluiceway.plans.tables import (
 from sluiceway.session import shared_dir
 from sluiceway.sources.channel import channel_read, channel_stream
 from sluiceway.streaming import channels, counting, handover, sinks, state, windows
-from sluiceway.streaming.control import changelog_stream
+from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
-from sluiceway.streaming.tables import all_batches, batch_table, last_batch, latest_rows, put_batch
+from sluiceway.streaming.tables import all_batches, latest_rows, put_batch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -190,7 +190,7 @@ def _(spark, sf):
         drain(changelog_stream(stream, ["key"], f"{root}/view", f"{root}/checkpoint"))
 
     in_two_parts(spark, control_log(spark, sf), F.col("seq") < halfway(spark, sf), step)
-    return batch_table(spark, f"{root}/view", last_batch(spark, f"{root}/view"))
+    return changelog_state(spark, {"key": "long"}, f"{root}/view")
 
 
 @query(

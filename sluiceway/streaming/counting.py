@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from sluiceway.operators.counting import add_counts, running_count, word_count
-from sluiceway.operators.lookup import HOT_ROWS
+from sluiceway.operators.counting import running_count, word_count
+from sluiceway.operators.lookup import HOT_ROWS, same_keys
 from sluiceway.streaming.runs import with_batches
-from sluiceway.streaming.tables import batch_table, keep_from, last_batch, put_batch
+from sluiceway.streaming.tables import ChangedRows, put_batch
 
 
 def word_count_stream(words: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -30,28 +31,50 @@ def running_count_stream(
 ) -> DataStreamWriter:
     """The count so far for every row, rows ordered by ``order`` inside a micro-batch.
 
-    The counters are a table next to the output (``path/state``), one version per micro-batch:
-    they outlive the query, and ``start`` takes over those of another one. A micro-batch is
-    counted by the batch operator, so a word with a third of all rows is still spread.
+    The counters are a table next to the output (``path/state``), to which a micro-batch writes
+    the words it has changed: they outlive the query, and ``start`` takes over those of another
+    one. A micro-batch is counted by the batch operator, so a word with a third of all rows is
+    still spread.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        before = batch_table(batch.sparkSession, f"{path}/state", number - 1)
-        before = start if before is None else before
+        spark = batch.sparkSession
+        kept = _state(batch.schema["word"].dataType.simpleString(), path)
+        before = kept.at(spark, number - 1)
+        if before is None:
+            before = start
+        elif start is not None:
+            before = add_missing(before, start)
         batch = batch.persist()
         try:
             out = running_count(batch, order, start=before, hot_rows=hot_rows)
             put_batch(out, f"{path}/out", number)
-            after = word_count(batch)
-            after = after if before is None else add_counts(before, after)
-            put_batch(after, f"{path}/state", number)
-            keep_from(batch.sparkSession, f"{path}/state", number - 1)
+            counts = word_count(batch)
+            if before is not None:
+                known = before.select("word", F.col("cnt").alias("_before"))
+                counts = same_keys(counts, known, ["word"], "left").select(
+                    "word", (F.col("cnt") + F.coalesce("_before", F.lit(0))).alias("cnt")
+                )
+            kept.put(counts, number)
         finally:
             batch.unpersist()
 
     return with_batches(words, checkpoint, handle)
 
 
-def counters(spark: SparkSession, path: str) -> DataFrame | None:
-    """The counters a running count has reached."""
-    return batch_table(spark, f"{path}/state", last_batch(spark, f"{path}/state"))
+def _state(kind: str, path: str) -> ChangedRows:
+    return ChangedRows(f"{path}/state", ["word"], f"word {kind}, cnt long")
+
+
+def add_missing(now: DataFrame, start: DataFrame) -> DataFrame:
+    """``now`` and the words of ``start`` that it doesn't have yet."""
+    old = start.select("word", "cnt").withColumnsRenamed({"word": "_word"})
+    missing = old.join(now.select("word"), F.col("_word").eqNullSafe(F.col("word")), "left_anti")
+    return now.select("word", "cnt").union(missing)
+
+
+def counters(spark: SparkSession, path: str, start: DataFrame | None = None) -> DataFrame | None:
+    """The counters a running count has reached; those of ``start`` that it didn't touch as well."""
+    kept = _state("string", path)
+    now = kept.at(spark, kept.last(spark))
+    return now if start is None else start if now is None else add_missing(now, start)

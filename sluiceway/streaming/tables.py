@@ -51,3 +51,66 @@ def latest_rows(spark: SparkSession, path: str, schema: str, keys: list[str]) ->
     names = [c for c in changes.columns if c not in (*keys, "batch")]
     newest = F.max_by(F.struct(*names), "batch").alias("_row")
     return changes.groupBy(*keys).agg(newest).select(*keys, "_row.*")
+
+
+class ChangedRows:
+    """A keyed table that takes the changed rows of each batch and is compacted now and then.
+
+    ``path/batch=n`` has the rows that batch n changed, ``path/full=n`` all rows after batch n.
+    A batch writes in proportion to what it changes. Every ``compact`` batches the changes so far
+    become one full version, and what is older goes, so at most about ``compact`` folders stay. A
+    batch that is run again finds the table as the batch before it left it.
+    """
+
+    def __init__(self, path: str, keys: list[str], schema: str, compact: int = 16):
+        self.path, self.keys, self.schema, self.compact = path, keys, schema, compact
+
+    def _folders(self, spark: SparkSession) -> dict[str, list[int]]:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        found: dict[str, list[int]] = {"batch": [], "full": []}
+        for status in fs.listStatus(folder) if fs.exists(folder) else []:
+            kind, _, number = status.getPath().getName().partition("=")
+            done = kind == "batch" or fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
+            if kind in found and number.isdigit() and done:
+                found[kind].append(int(number))
+        return found
+
+    def at(self, spark: SparkSession, batch: int) -> DataFrame | None:
+        """The table after ``batch``; nothing before the first change."""
+        found = self._folders(spark)
+        base = max((n for n in found["full"] if n <= batch), default=-1)
+        later = [f"{self.path}/batch={n}" for n in found["batch"] if base < n <= batch]
+        parts = [(f"{self.path}/full={base}", F.lit(-1))] if base >= 0 else []
+        schema = StructType.fromDDL(self.schema)
+        frames = [spark.read.schema(schema).parquet(p).withColumn("_at", at) for p, at in parts]
+        if later:
+            number = F.regexp_extract(F.input_file_name(), "batch=([0-9]+)", 1).cast("int")
+            frames.append(spark.read.schema(schema).parquet(*later).withColumn("_at", number))
+        if not frames:
+            return None
+        rows = frames[0] if len(frames) == 1 else frames[0].unionByName(frames[1])
+        names = [c for c in schema.names if c not in self.keys]
+        newest = rows.groupBy(*self.keys).agg(F.max_by(F.struct(*names), "_at").alias("_row"))
+        return newest.select(*self.keys, "_row.*")
+
+    def last(self, spark: SparkSession) -> int:
+        found = self._folders(spark)
+        return max([*found["batch"], *found["full"]], default=-1)
+
+    def put(self, changed: DataFrame, batch: int) -> None:
+        put_batch(changed, self.path, batch)
+        spark = changed.sparkSession
+        found = self._folders(spark)
+        base = max((n for n in found["full"] if n < batch), default=-1)
+        if batch - base <= self.compact:
+            return
+        # As of the batch before, which a repeated run of this batch starts from.
+        self.at(spark, batch - 1).write.mode("overwrite").parquet(f"{self.path}/full={batch - 1}")
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for kind, numbers in found.items():
+            for n in numbers:
+                if n < batch - (kind == "full"):
+                    old = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder, f"{kind}={n}")
+                    fs.delete(old, True)

@@ -9,7 +9,7 @@ from sluiceway.session import shared_dir
 from sluiceway.sources.channel import channel_read
 from sluiceway.streaming import channels, counting, handover, sinks, state
 from sluiceway.streaming.runs import Switchable, drain, writer
-from sluiceway.streaming.tables import all_batches, last_batch, put_batch
+from sluiceway.streaming.tables import ChangedRows, all_batches, last_batch, put_batch
 
 SCHEMA = "seq long, word string, ch int"
 
@@ -190,3 +190,20 @@ def test_index_source_goes_on_from_its_offset(spark):
         Switchable(lambda: out.option("path", f"{root}/out")).pause()
     got = spark.read.schema("idx long").parquet(f"{root}/out").collect()
     assert sorted(r.idx for r in got) == list(range(120))
+
+
+def test_changed_rows_are_compacted(spark):
+    path = f"{shared_dir(spark, 'test-changed')}/t"
+    kept = ChangedRows(path, ["k"], "k string, v long", compact=3)
+    want = {}
+    for n in range(12):
+        changed = {f"k{n % 5}": n, None: -n}
+        want.update(changed)
+        for _ in range(2):  # a batch that is run again
+            before = kept.at(spark, n - 1)
+            assert before is None or len(before.collect()) == min(n, 5) + 1
+            kept.put(spark.createDataFrame(list(changed.items()), kept.schema), n)
+        assert {r.k: r.v for r in kept.at(spark, n).collect()} == want
+        folders = kept._folders(spark)
+        assert len(folders["batch"]) + len(folders["full"]) <= 6
+    assert kept.last(spark) == 11
