@@ -185,13 +185,17 @@ def near_links(
     Chains of links stand for all pairs: two nodes are connected here if and only if they are
     connected by pairs within ``radius``.
     """
-    spark = nodes.sparkSession
-    n = nodes.count()
+    step = np.log(1 / size_ratio) if size_ratio else None
+    if step is None:
+        n = nodes.count()
+    else:  # bands of similar size are joined apart, so the fullest one decides
+        size = F.greatest(F.split("node", ":")[1].cast("long"), F.lit(1))
+        bands = nodes.groupBy(F.floor(F.log(size) / F.lit(float(step)))).count()
+        n = bands.agg(F.coalesce(F.max("count"), F.lit(0))).first()[0]
     shards = min(MAX_SHARDS, blocks(n, shard_rows))
     wanted = shards * SAMPLE_PER_SHARD
     picked = nodes.orderBy(F.xxhash64("node")).limit(wanted if shards > 1 else 0)  # bounded by MAX_SHARDS
     tree = VantageTree(unpack([r.node.split(":")[0] for r in picked.collect()]), shards)
-    step = np.log(1 / size_ratio) if size_ratio else None
 
     def deal(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
