@@ -9,6 +9,7 @@ next island. What lies in poorly filled bins of all blocks is dealt and packed a
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,14 +35,79 @@ EPOCHS = 2
 GENERATIONS = 4
 LEVELS = 3
 WELL_FILLED = 0.998
-CACHED = 300_000
+CACHED = 1_200_000  # chunks that a worker remembers
 
 
-@lru_cache(maxsize=2)
-def tokenizer(path: str):
-    from tokenizers import Tokenizer
+# Letters whose normal form and lower case are single letters again, and stops after them.
+PLAIN = regex.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3]+)([.,]*)")
+
+
+class ChunkIds:
+    """Ids of chunks without white space, as bytes; one per Python worker, kept between tasks.
+
+    The tokenizer splits letters from what follows them, so that a word and the full stop or
+    comma after it are looked up apart, and words of plain letters are encoded many at a time:
+    each of them ends with its only end-of-word token.
+    """
+
+    def __init__(self, path: str) -> None:
+        # Spark runs one task per core already.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def learn(self, parts: set[str]) -> None:
+        """Make sure that all of ``parts`` are known."""
+        known = self.known
+        new = parts.difference(known)
+        if len(known) + 2 * len(new) > CACHED:
+            known.clear()
+            new = parts
+        cut = {c: m.groups() for c in new if (m := PLAIN.fullmatch(c))}
+        words = {core for core, _ in cut.values()}.difference(known)
+        self._encode(list(words), list({tail for _, tail in cut.values()}.union(new.difference(cut)).difference(known)))
+        for c, (core, tail) in cut.items():
+            if tail:
+                known[c] = known[core] + known[tail]
+
+    def each(self, texts: pa.Array) -> Iterator[tuple[int, dict[str, bytes], list[str]]]:
+        """(row, known chunks, chunks of the text), learning the chunks of many texts at a time."""
+        group: list[list[str]] = []
+        held, first = 0, 0
+        for row in range(len(texts)):
+            group.append(chunks(texts[row].as_py() or ""))
+            held += len(group[-1])
+            if held > 200_000 or row == len(texts) - 1:
+                self.learn(set().union(*group))
+                for at, parts in enumerate(group):
+                    yield first + at, self.known, parts
+                group, held, first = [], 0, row + 1
+
+    def _encode(self, words: list[str], others: list[str]) -> None:
+        for at in range(0, len(words), 10_000):
+            some = words[at : at + 10_000]
+            (coded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            ids = np.array(coded.ids, "<u4")
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            if len(stops) != len(some):
+                others = others + some
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, stop in zip(some, (4 * stops).tolist()):
+                self.known[word] = raw[begin:stop]
+                begin = stop
+        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
+            self.known[c] = np.array(e.ids, "<u4").tobytes()
 
-    return Tokenizer.from_file(path)
+
+@lru_cache(maxsize=2)
+def chunk_ids(path: str) -> ChunkIds:
+    return ChunkIds(path)
 
 
 def token_pieces(
@@ -56,7 +123,7 @@ def token_pieces(
     """``id, piece, start, length, ids_crc32`` (and ``ids``): every document's ids, cut at ``capacity``.
 
     Ids are the tokenizer's without added special tokens, then ``end_id``; null counts as empty.
-    The tokenizer never joins across white space, so equal chunks of a task are encoded once.
+    The tokenizer never joins across white space, so equal chunks of a worker are encoded once.
     """
     kind = docs.schema[id_col]
     schema = T.StructType([T.StructField("id", kind.dataType)]).add("piece", T.IntegerType()).add("start", T.LongType()).add(
@@ -65,20 +132,11 @@ def token_pieces(
         schema = schema.add("ids", T.ArrayType(T.IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = tokenizer(tokenizer_path)
-        known: dict[str, bytes] = {}
+        cache = chunk_ids(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
-            for row, text in enumerate(batch.column(1).to_pylist()):
-                parts = chunks(text or "")
-                new = [c for c in dict.fromkeys(parts) if c not in known]
-                if new:
-                    if len(known) + len(new) > CACHED:
-                        known.clear()
-                        new = list(dict.fromkeys(parts))
-                    for c, e in zip(new, tok.encode_batch_fast(new, add_special_tokens=False)):
-                        known[c] = np.array(e.ids, "<u4").tobytes()
+            for row, known, parts in cache.each(batch.column(1)):
                 ids = b"".join([known[c] for c in parts]) + end
                 step = 4 * capacity
                 for piece, at in enumerate(range(0, len(ids), step)):
