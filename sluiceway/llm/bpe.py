@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
-CACHED = 300_000
+CACHED = 500_000
 
 
 def byte_letters() -> list[str]:
@@ -62,6 +62,7 @@ class Bpe:
         table = byte_letters()
         self.letters = [self.vocab[c] for c in table]
         self.endings = [self.vocab[c + self.suffix] for c in table]
+        self.chunks: dict[str, tuple[int, str, str]] = {}  # what a worker remembers between tasks
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: repeatedly join the pair with the lowest rank, leftmost first."""
@@ -138,7 +139,7 @@ def bpe_round_trip(
     of the decoded text. Texts are encoded whole, without added special tokens; special tokens'
     strings within a text get their own ids. Null counts as the empty text and has no tokens.
     Repeated rows and null ids give a row each; other columns are not read. Memory per task is one
-    Arrow batch and at most ``CACHED`` pieces.
+    Arrow batch and at most ``CACHED`` chunks, which a worker keeps between tasks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
@@ -148,7 +149,7 @@ def bpe_round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        known: dict[str, tuple[int, str, str]] = {}
+        known = bpe.chunks
 
         def coded(chunk: str) -> tuple[int, str, str]:
             found = known.get(chunk)
