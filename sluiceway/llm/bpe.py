@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
-CACHED = 500_000
+CACHED = 300_000
 
 
 def byte_letters() -> list[str]:

@@ -35,7 +35,7 @@ EPOCHS = 2
 GENERATIONS = 4
 LEVELS = 3
 WELL_FILLED = 0.998
-CACHED = 1_200_000  # chunks that a worker remembers
+CACHED = 500_000  # chunks that a worker remembers
 
 
 # Letters whose normal form and lower case are single letters again, and stops after them.

@@ -26,7 +26,7 @@ SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
 LEXICON_WORDS = 200
 BEGINNINGS = (5, 7)
 SHAPES = 10
-CACHED = 300_000
+CACHED = 100_000
 WORD = re.compile(r"[^\W\d_]+")
 LETTER, UPPER, DIGIT, SPACE, OTHER = range(5)
 KINDS = np.full(129, OTHER, np.uint8)
