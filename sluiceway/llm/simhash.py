@@ -4,6 +4,7 @@ Equal fingerprints are first made one. A vantage-point tree over a bounded sampl
 into shards; every fingerprint is a member of one shard and, as a query, visits the later shards
 that the triangle inequality does not rule out. Each shard builds its own tree over its members,
 prunes the same way, and returns one link per linked fingerprint, never all pairs of a group.
+Where ``jaccard`` is given these links only find candidates, and the shingle sets decide.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ MAX_SHARDS = 4096  # bounds the tree on the driver; beyond it shards grow
 SAMPLE_PER_SHARD = 32
 LEAF = 1024
 SEED = 42
+PART_ROWS = 2_000  # of a candidate group that are compared with one another at a time
+PART_BYTES = 8 << 20
 
 
 def shingle_hashes(text: bytes, words: int, seeds: tuple[int, ...]) -> np.ndarray:
@@ -44,7 +47,11 @@ def shingle_hashes(text: bytes, words: int, seeds: tuple[int, ...]) -> np.ndarra
 
 def fingerprint(text: bytes, words: int, seeds: tuple[int, ...]) -> tuple[bytes, int]:
     """The fingerprint (64 bits per seed) and the number of shingles."""
-    hashes = shingle_hashes(text, words, seeds)
+    return majority(shingle_hashes(text, words, seeds), seeds)
+
+
+def majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> tuple[bytes, int]:
+    """The bits that over half of the hashes have, and the number of hashes."""
     n = len(hashes)
     if not n:
         return bytes(8 * len(seeds)), 0
@@ -55,6 +62,34 @@ def fingerprint(text: bytes, words: int, seeds: tuple[int, ...]) -> tuple[bytes,
     return np.packbits(2 * ones > n).tobytes(), n
 
 
+def set_print(text: bytes, words: int, seeds: tuple[int, ...]) -> tuple[bytes, int, str]:
+    """Fingerprint of the set of shingles, its size, and a digest that only equal sets share."""
+    hashes = shingle_hashes(text, words, seeds)
+    if len(hashes):
+        hashes = hashes[np.unique(hashes[:, 0], return_index=True)[1]]
+    return *majority(hashes, seeds), xxhash.xxh128_hexdigest(hashes[:, 0].tobytes())
+
+
+def set_nodes(docs: DataFrame, *, id_col: str, text_col: str, words: int, seeds: tuple[int, ...]) -> DataFrame:
+    """``id, fingerprint, node``: as ``fingerprints``, but each distinct shingle counts once.
+
+    ``node`` is fingerprint, size and digest of the set of shingles, with colons between.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [set_print(t or b"", words, seeds) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([f.hex() for f, _, _ in found], pa.string()),
+                 pa.array([f"{f.hex()}:{n}:{d}" for f, n, d in found], pa.string())],
+                names=["id", "fingerprint", "node"],
+            )
+
+    slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    return slim.mapInArrow(run, f"id {kind}, fingerprint string, node string").withColumnRenamed("id", id_col)
+
+
 def fingerprints(
     docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", words: int = 4, seeds: tuple[int, ...] = (SEED,)
 ) -> DataFrame:
@@ -242,6 +277,95 @@ def near_links(
     return dealt.groupBy("band", "shard").applyInPandas(join, "a string, b string")
 
 
+def similar_links(points: np.ndarray, sets: list[np.ndarray], part: np.ndarray, radius: int, jaccard: float) -> np.ndarray:
+    """For each set the least one that it is connected to by pairs with ``jaccard`` or more.
+
+    Only pairs within ``radius`` are compared, and where there are two parts only pairs across
+    them; a pair that is connected already needs no comparison.
+    """
+    n = len(sets)
+    size = np.array([len(s) for s in sets])
+    _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    begin = np.cumsum(size) - size
+    mark = np.zeros(len(flat) + 1, bool)
+    root = np.arange(n)
+    across = part.min() != part.max()
+    for i in range(n):
+        own = size[i]
+        later = i + 1 + np.flatnonzero(root[i + 1 :] != root[i])
+        low, high = np.minimum(size[later], own), np.maximum(size[later], own)
+        later = later[(low >= jaccard * high) & ((part[later] != part[i]) | (not across))]
+        if not len(later):
+            continue
+        later = later[hamming(points[later], points[i : i + 1])[:, 0] <= radius]
+        held = flat[begin[i] : begin[i] + own]
+        mark[held] = True
+        for a in range(0, len(later), 256):
+            some = later[a : a + 256]
+            some = some[root[some] != root[i]]
+            if not len(some):
+                continue
+            n_some = size[some]
+            starts = np.cumsum(n_some) - n_some
+            at = np.arange(n_some.sum()) + np.repeat(begin[some] - starts, n_some)
+            both = np.add.reduceat(mark[flat[at]], starts, dtype=np.int64) if own else n_some * 0
+            like = both / np.maximum(1, own + n_some - both) >= jaccard
+            joined = np.unique(np.append(root[some[like]], root[i]))
+            if len(joined) > 1:
+                root[np.isin(root, joined)] = joined[0]
+        mark[held] = False
+    return root
+
+
+def similar_pairs(
+    docs: DataFrame, members: DataFrame, *, words: int, seeds: tuple[int, ...], radius: int, jaccard: float,
+    part_rows: int = PART_ROWS, part_bytes: int = PART_BYTES,
+) -> DataFrame:
+    """``a, b``: links that connect exactly the nodes of each candidate group whose shingle sets
+    are connected by pairs with a Jaccard similarity of ``jaccard`` or more.
+
+    ``docs`` has ``_id, _text``, ``members`` has ``node, least, root``. A large group is cut into
+    parts and each two parts are compared in a task of their own; small groups share tasks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            sets = [np.unique(shingle_hashes(t or b"", words, seeds[:1])[:, 0]).astype("<u8").tobytes() for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "node", "shingles"])
+
+    one = docs.join(members, F.col("_id").eqNullSafe(F.col("least")))
+    sets = one.select("root", "node", F.col("_text").cast("binary").alias("t")).mapInArrow(run, "root string, node string, shingles binary")
+    # rows that repeat id and text give the same set several times
+    sets = stored(sets.groupBy("root", "node").agg(F.min("shingles").alias("shingles")), "shingle-sets")
+    held = F.octet_length("shingles")
+    groups = sets.groupBy("root").agg(
+        F.ceil(F.greatest(F.count("*") / part_rows, F.sum(held) / part_bytes, F.lit(1))).cast("int").alias("parts")
+    )
+    total = sets.agg(F.coalesce(F.sum(held), F.lit(0)), F.count("*")).first()
+    tasks = max(blocks(total[0], part_bytes), blocks(total[1], part_rows))
+    placed = sets.join(groups, "root").withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    task = F.when(F.col("parts") == 1, F.concat(F.lit("."), F.pmod(F.xxhash64("root"), F.lit(tasks)))).otherwise(
+        F.concat_ws(".", "root", F.least("part", "other"), F.greatest("part", "other"))
+    )
+
+    def join(frame: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        for _, group in frame.groupby("root"):
+            if len(group) > 1:
+                node = group["node"].to_numpy()
+                points = unpack([n.split(":")[0] for n in node])
+                sets = [np.frombuffer(s, "<u8") for s in group["shingles"]]
+                root = similar_links(points, sets, group["part"].to_numpy(), radius, jaccard)
+                moved = root != np.arange(len(node))
+                found.append(pd.DataFrame({"a": node[moved], "b": node[root[moved]]}))
+        return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str)})
+
+    asked = placed.select(task.alias("task"), "root", "node", "part", "shingles")
+    return asked.groupBy("task").applyInPandas(join, "a string, b string")
+
+
 def simhash_components(
     docs: DataFrame,
     *,
@@ -251,6 +375,7 @@ def simhash_components(
     radius: int = 4,
     seeds: tuple[int, ...] = (SEED,),
     size_ratio: float | None = None,
+    jaccard: float | None = None,
 ) -> DataFrame:
     """``id, fingerprint, component_id``, one row per row of ``docs``.
 
@@ -260,7 +385,20 @@ def simhash_components(
     fingerprint zero and are linked like any other. Repeated rows give a row each; a null id is
     reached but is never the least unless all ids of a component are null. Other columns are not
     read. Equal fingerprints are one node, so a group of copies of any size costs one row.
+
+    With ``jaccard``, documents are linked if their sets of shingles have at least that Jaccard
+    similarity (sets of 64-bit hashes; repeats don't count). Fingerprints of the sets, within
+    ``radius``, only find the candidates, and equal sets are one node.
     """
+    if jaccard is not None:
+        keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
+        prints = stored(set_nodes(keyed, id_col="_id", text_col="_text", words=words, seeds=seeds), "fingerprints")
+        nodes = stored(prints.groupBy("node").agg(F.min("_id").alias("least")), "fingerprint-nodes")
+        groups = components(near_links(nodes.select("node"), radius, size_ratio=jaccard), "candidate-links")
+        links = similar_pairs(
+            keyed, nodes.join(groups, "node"), words=words, seeds=seeds, radius=radius, jaccard=jaccard
+        )
+        return _components_of(prints, nodes, links, id_col)
     node = F.col("fingerprint") if size_ratio is None else F.concat_ws(":", "fingerprint", "shingles")
     prints = stored(
         fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=seeds).select(
@@ -269,7 +407,11 @@ def simhash_components(
         "fingerprints",
     )
     nodes = stored(prints.groupBy("node").agg(F.min("_id").alias("least")), "fingerprint-nodes")
-    links = near_links(nodes.select("node"), radius, size_ratio=size_ratio)
+    return _components_of(prints, nodes, near_links(nodes.select("node"), radius, size_ratio=size_ratio), id_col)
+
+
+def _components_of(prints: DataFrame, nodes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
+    """The least id of each document's component."""
     roots = components(links, "fingerprint-links")
     named = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = stored(named, "fingerprint-roots")
