@@ -210,15 +210,11 @@ class Forest:
                 self.parent = up
 
 
-def near_links(
-    nodes: DataFrame, radius: int, *, size_ratio: float | None = None, shard_rows: int = SHARD_ROWS
-) -> DataFrame:
-    """``a, b``: links that join exactly the fingerprints within ``radius`` of one another.
+def dealt_parts(nodes: DataFrame, radius: int, size_ratio: float | None, shard_rows: int) -> DataFrame:
+    """``band, shard, i, j, node, member``: what a task compares, members with all others.
 
-    ``nodes`` has distinct ``node`` strings: hexadecimal words, and after a colon the size where
-    ``size_ratio`` is given; then linked nodes' sizes also differ by no more than that ratio.
-    Chains of links stand for all pairs: two nodes are connected here if and only if they are
-    connected by pairs within ``radius``.
+    A shard's members come in home parts, and all that visit it, its members too, in other parts;
+    a task gets one of each, so that it holds a bounded number however many visit.
     """
     step = np.log(1 / size_ratio) if size_ratio else None
     if step is None:
@@ -250,6 +246,32 @@ def near_links(
             yield pd.DataFrame({"band": band[rows[later]], "shard": shard[later], "node": node[rows[later]], "member": home[later]})
             yield pd.DataFrame({"band": band[rows] + 1, "shard": shard, "node": node[rows], "member": False})
 
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in deal(frames):
+            yield frame.groupby(["band", "shard"], as_index=False).agg(members=("member", "sum"), n=("member", "size"))
+
+    sizes = nodes.mapInPandas(count, "band long, shard long, members long, n long").groupBy("band", "shard").agg(
+        F.ceil(F.sum("members") / shard_rows).cast("int").alias("homes"),
+        F.ceil(F.sum("n") / (2 * shard_rows)).cast("int").alias("others"),
+    )
+    dealt = nodes.mapInPandas(deal, "band long, shard long, node string, member boolean")
+    placed = dealt.join(sizes.where("homes > 0"), ["band", "shard"]).withColumn("at", F.xxhash64("node"))
+    copies = """flatten(array(
+        if(member, transform(sequence(0, others - 1), x -> struct(cast(pmod(at, homes) as int) as i, x as j, true as member)), array()),
+        transform(sequence(0, homes - 1), x -> struct(x as i, cast(pmod(at, others) as int) as j, false as member))))"""
+    return placed.selectExpr("band", "shard", "node", f"explode({copies}) as c").select("band", "shard", "c.*", "node")
+
+
+def near_links(
+    nodes: DataFrame, radius: int, *, size_ratio: float | None = None, shard_rows: int = SHARD_ROWS
+) -> DataFrame:
+    """``a, b``: links that join exactly the fingerprints within ``radius`` of one another.
+
+    ``nodes`` has distinct ``node`` strings: hexadecimal words, and after a colon the size where
+    ``size_ratio`` is given; then linked nodes' sizes also differ by no more than that ratio.
+    Chains of links stand for all pairs: two nodes are connected here if and only if they are
+    connected by pairs within ``radius``.
+    """
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         member = frame["member"].to_numpy()
         empty = pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str)})
@@ -259,7 +281,7 @@ def near_links(
         split = frame["node"].str.split(":")
         points = unpack(split.str[0].tolist())
         forest = Forest(len(node))
-        if step is None:
+        if size_ratio is None:
             link = forest.link
         else:
             size = split.str[1].astype("int64").to_numpy()
@@ -269,12 +291,12 @@ def near_links(
                 fit = low >= size_ratio * high
                 forest.link(a[fit], b[fit])
 
-        join_ball(np.arange(len(node)), np.flatnonzero(member), points, radius, link)
+        join_ball(np.flatnonzero(~member), np.flatnonzero(member), points, radius, link)
         moved = forest.parent != np.arange(len(node))
         return pd.DataFrame({"a": node[moved], "b": node[forest.parent[moved]]})
 
-    dealt = nodes.mapInPandas(deal, "band long, shard long, node string, member boolean")
-    return dealt.groupBy("band", "shard").applyInPandas(join, "a string, b string")
+    parts = dealt_parts(nodes, radius, size_ratio, shard_rows)
+    return parts.groupBy("band", "shard", "i", "j").applyInPandas(join, "a string, b string")
 
 
 def similar_links(points: np.ndarray, sets: list[np.ndarray], part: np.ndarray, radius: int, jaccard: float) -> np.ndarray:
