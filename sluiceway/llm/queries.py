@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluiceway.llm.ann import nearest
 from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
+from sluiceway.llm.exact_dedup import exact_duplicates
 from sluiceway.llm.licenses import BASE, license_scan
 from sluiceway.llm.metric_join import near_duplicate_vectors
 from sluiceway.llm.packing import packed_documents
@@ -124,3 +125,15 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", F.col("_n_bytes").alias("n_bytes"), F.col("_n_removed").alias("n_removed"),
         F.col("_n_spans").alias("n_spans"), F.sha2("_kept", 256).alias("kept_sha256"),
     )
+
+
+@query(
+    "op12_exact_dedup",
+    """
+    WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+    g AS (SELECT text, max(doc_id) AS keep_id, count(*) AS group_size, sha256(text) AS text_sha256 FROM t GROUP BY text)
+    SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text)
+    """,
+)
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(table(spark, sf_dir, "documents"))
