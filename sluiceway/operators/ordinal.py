@@ -2,25 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
-from sluiceway.operators.lookup import HOT_ROWS, hot_keys, same_keys
-
-_SAMPLES_PER_BLOCK = 16
-_SEARCH_STEPS = [1 << b for b in range(23, -1, -1)]
+import uuid
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
 
-def _block_of(position: Column, bounds: Column) -> Column:
-    """How many of the ascending ``bounds`` are <= ``position``, by binary search."""
-    size = F.size(bounds)
-
-    def step(found: Column, width: Column) -> Column:
-        ahead = found + width
-        fits = (ahead <= size) & (F.get(bounds, ahead - 1) <= position)
-        return F.when(fits, ahead).otherwise(found)
+from sluiceway.operators.lookup import HOT_ROWS, same_keys
+from sluiceway.session import written
 
-    return F.aggregate(F.array(*map(F.lit, _SEARCH_STEPS)), F.lit(0), step)
+_PLACE_BITS = 33  # of monotonically_increasing_id; the partition's number is above them
 
 
 def running_ordinal(
@@ -32,54 +22,23 @@ def running_ordinal(
 ) -> DataFrame:
     """Add ``name`` = 1, 2, 3, ... per key in the order of the columns ``order``.
 
-    ``order`` must be unique within a key. No ``keys`` means one sequence over all rows.
+    ``order`` must be unique within a key. No ``keys`` means one sequence over all rows. Rows with
+    a null key are numbered like those of any other key.
 
     A window function sorts each key in one task, which fails for a key with a third of all rows.
-    Keys with more than ``hot_rows`` rows are therefore cut into blocks of the order at sampled
-    split points. Each block is numbered on its own and gets the number of rows in the blocks
-    before it added. There is one split point for about ``hot_rows`` rows of a hot key, at any
-    size of the data; Spark broadcasts them if they are few. The sample only places the cuts; any
-    cuts give the same numbers. It is taken by hash, so a recomputed task sees the same cuts.
-    Without a hot key the additional joins are empty and adaptive execution drops them. Rows with
-    a null key are numbered like those of any other key.
+    Here rows go to ranges of ``(keys, order)``, wherever a key begins or ends, and are written
+    once in that order. A row's place in its range is known then; the number of rows that its key
+    has in earlier ranges comes from a table with one row per key and range. There are as many
+    ranges as shuffle partitions, and more if a range would pass ``hot_rows`` rows where that is
+    set lower than usual.
     """
-    if keys:
-        return _running_ordinal(df, keys, order, name, hot_rows)
-    whole = df.withColumn("_all", F.lit(0))
-    return _running_ordinal(whole, ["_all"], order, name, hot_rows).drop("_all")
-
-
-def _running_ordinal(
-    df: DataFrame, keys: list[str], order: list[str], name: str, hot_rows: int
-) -> DataFrame:
-    position = F.struct(*order)
-    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = hot_keys(counts, keys, "_n", hot_rows)
-    stride = F.lit(max(1, hot_rows // _SAMPLES_PER_BLOCK))
-    sample = (
-        same_keys(df.where(F.pmod(F.xxhash64(*order), stride) == 0), hot.select(*keys), keys)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(position)).alias("_sample"))
-    )
-    every = F.lit(_SAMPLES_PER_BLOCK)
-    cuts = sample.select(
-        *keys,
-        F.filter("_sample", lambda _, i: F.pmod(i + 1, every) == 0).alias("_cuts"),
-    )
-    block = F.when(F.col("_cuts").isNull(), 0).otherwise(_block_of(position, F.col("_cuts")))
-    rows = same_keys(df, cuts, keys, "left").withColumn("_block", block).drop("_cuts")
-    sizes = (
-        same_keys(df.select(*dict.fromkeys([*keys, *order])), cuts, keys)
-        .groupBy(*keys, _block_of(position, F.col("_cuts")).alias("_block"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
-    earlier = Window.partitionBy(*keys).orderBy("_block").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
-    before = sizes.select(*keys, "_block", F.sum("_n").over(earlier).alias("_before"))
-    local = F.row_number().over(Window.partitionBy(*keys, "_block").orderBy(*order))
-    return (
-        same_keys(rows.withColumn("_local", local), before, [*keys, "_block"], "left")
-        .withColumn(name, F.col("_local") + F.coalesce("_before", F.lit(0).cast("long")))
-        .select(*df.columns, name)
-    )
+    place, span, first, before, size = (f"{c}_{uuid.uuid4().hex[:8]}" for c in ("place", "span", "first", "before", "n"))
+    ranges = [] if hot_rows >= HOT_ROWS else [max(1, -(-df.count() // hot_rows))]
+    placed = df.repartitionByRange(*ranges, *keys, *order).sortWithinPartitions(*keys, *order)
+    rows = written(placed.withColumn(place, F.monotonically_increasing_id()), "ordinal-rows")
+    rows = rows.withColumn(span, F.shiftright(place, _PLACE_BITS))
+    sizes = rows.groupBy(*keys, span).agg(F.min(place).alias(first), F.count(F.lit(1)).alias(size))
+    earlier = Window.partitionBy(*keys).orderBy(span).rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, span, first, F.coalesce(F.sum(size).over(earlier), F.lit(0)).alias(before))
+    numbered = same_keys(rows, written(starts, "ordinal-starts"), [*keys, span])
+    return numbered.withColumn(name, F.col(place) - F.col(first) + F.col(before) + 1).select(*df.columns, name)

@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
@@ -54,12 +57,39 @@ def use_rocksdb(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
+_scope: ContextVar[list[str] | None] = ContextVar("sluiceway-scope", default=None)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+@contextmanager
+def written_removed(spark: SparkSession) -> Iterator[None]:
+    """What ``written`` leaves in the shared folder within it is deleted at its end.
+
+    For code that is through with its results by then, such as a micro-batch.
+    """
+    mine: list[str] = []
+    token = _scope.set(mine)
+    try:
+        yield
+    finally:
+        _scope.reset(token)
+        for path in mine:
+            remove_folder(spark, path)
+
+
 def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write a small intermediate result to the shared folder and read it back.
+    """Write an intermediate result to the shared folder and read it back.
 
     Cuts the lineage for results that several later steps use, and gives the planner the true
     size, so that it broadcasts the result only below ``spark.sql.autoBroadcastJoinThreshold``.
     """
     path = shared_dir(df.sparkSession, purpose)
+    mine = _scope.get()
+    if mine is not None:
+        mine.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

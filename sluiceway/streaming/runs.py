@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from sluiceway.session import written_removed
+
 RUNNING, PAUSED = "Running", "Paused"
 
 
@@ -26,7 +28,13 @@ def writer(df: DataFrame, checkpoint: str, mode: str = "append") -> DataStreamWr
 def with_batches(
     df: DataFrame, checkpoint: str, handle: Callable[[DataFrame, int], None], mode: str = "append"
 ) -> DataStreamWriter:
-    return writer(df, checkpoint, mode).foreachBatch(handle)
+    """Run ``handle`` on every micro-batch; intermediate tables go at the end of each."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        with written_removed(batch.sparkSession):
+            handle(batch, number)
+
+    return writer(df, checkpoint, mode).foreachBatch(run)
 
 
 class Switchable:
