@@ -11,6 +11,7 @@ from sluiceway.llm.bpe import bpe_round_trip
 from sluiceway.llm.common import table
 from sluiceway.llm.exact_dedup import exact_duplicates
 from sluiceway.llm.licenses import BASE, license_scan
+from sluiceway.llm.merkle import verified_documents
 from sluiceway.llm.metric_join import near_duplicate_vectors
 from sluiceway.llm.packing import packed_documents
 from sluiceway.llm.quality import fit, judge
@@ -137,3 +138,83 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+def _encoded_sql(column: str, value: str | None = None) -> str:
+    value = f"CAST({value or column} AS VARCHAR)"
+    return f"CASE WHEN {column} IS NULL THEN '-' ELSE concat(strlen({value}), ':', {value}) END"
+
+
+_FIELDS_SQL = " || ".join(f"({_encoded_sql(c)})" for c in ("doc_id", "source", "lang", "n_chars"))
+
+
+@query(
+    "op11_merkle_manifest",
+    f"""
+    WITH RECURSIVE bytes AS (
+      SELECT doc_id, flatten(list_transform(range(length(doc_id::VARCHAR)),
+        lambda i: [ascii(substr(doc_id::VARCHAR, i + 1, 1)), 0, 0, 0, 0, 0, 0, 0])) AS b
+      FROM (SELECT DISTINCT doc_id FROM documents WHERE doc_id IS NOT NULL)),
+    crc AS (
+      SELECT doc_id, list_reduce(b, lambda acc, x: CASE WHEN xor(acc, x) & 1 = 1 THEN xor(xor(acc, x) >> 1, 3988292384)
+        ELSE xor(acc, x) >> 1 END, 4294967295::BIGINT) AS reg FROM bytes),
+    leaf AS (
+      SELECT d.doc_id, source, sha256({_FIELDS_SQL} || ({_encoded_sql("text")})) AS leaf,
+        CASE WHEN reg & 1 = 1 THEN sha256({_FIELDS_SQL} || ({_encoded_sql("text", "replace(text, chr(10), '')")}))
+             ELSE sha256({_FIELDS_SQL} || ({_encoded_sql("text")})) END AS shown
+      FROM documents d LEFT JOIN crc USING (doc_id)),
+    placed AS (
+      SELECT *, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY source) AS n FROM leaf),
+    up AS (
+      SELECT source, 0 AS lvl, pos, leaf AS h, n FROM placed
+      UNION ALL
+      SELECT source, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+      FROM up WHERE n > 1 GROUP BY source, lvl, pos // 3, n),
+    sub AS (
+      SELECT source, h AS subroot, lvl AS height, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS pos,
+        count(*) OVER () AS n FROM up WHERE n = 1),
+    over AS (
+      SELECT 0 AS lvl, pos, subroot AS h, n FROM sub
+      UNION ALL
+      SELECT lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3
+      FROM over WHERE n > 1 GROUP BY lvl, pos // 3, n),
+    top AS (SELECT h AS root, lvl AS height FROM over WHERE n = 1),
+    nodes AS (
+      SELECT source, false AS upper, lvl, pos, h FROM up WHERE n > 1
+      UNION ALL SELECT NULL, true, lvl, pos, h FROM over WHERE n > 1),
+    steps AS (
+      SELECT p.source, p.pos AS place, false AS upper, p.source AS tree, s.height AS levels, 0 AS base, p.pos AS spot
+      FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+      UNION ALL
+      SELECT p.source, p.pos, true, NULL, t.height, s.height, s.pos
+      FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source, top t),
+    path AS (
+      SELECT source, place, upper, tree, base + lvl AS depth, lvl, spot // (3 ** lvl)::BIGINT AS spot
+      FROM (SELECT *, unnest(range(levels)) AS lvl FROM steps)),
+    sides AS (
+      SELECT a.source, a.place, a.depth,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos < a.spot), '') AS l,
+        coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos > a.spot), '') AS r
+      FROM path a JOIN nodes b ON a.upper = b.upper AND a.tree IS NOT DISTINCT FROM b.source AND a.lvl = b.lvl
+        AND b.pos // 3 = a.spot // 3
+      GROUP BY a.source, a.place, a.depth),
+    fold AS (
+      SELECT p.source, p.pos AS place, 0 AS depth, shown AS acc FROM placed p
+      UNION ALL
+      SELECT f.source, f.place, f.depth + 1, sha256(s.l || f.acc || s.r)
+      FROM fold f JOIN sides s ON f.source IS NOT DISTINCT FROM s.source AND f.place = s.place AND f.depth = s.depth),
+    folded AS (SELECT source, place, arg_max(acc, depth) AS folded_root FROM fold GROUP BY source, place),
+    proofs AS (SELECT source, place, sha256(string_agg(l || r, '' ORDER BY depth)) AS proof FROM sides GROUP BY source, place)
+    SELECT p.doc_id, p.leaf, s.subroot, t.root, coalesce(q.proof, sha256('')) AS proof_sha256, f.folded_root,
+      f.folded_root = t.root AS verified
+    FROM placed p JOIN sub s ON p.source IS NOT DISTINCT FROM s.source
+    JOIN folded f ON p.source IS NOT DISTINCT FROM f.source AND p.pos = f.place
+    LEFT JOIN proofs q ON p.source IS NOT DISTINCT FROM q.source AND p.pos = q.place, top t
+    """,
+)
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    beside = F.array_join(F.zip_with("lefts", "rights", lambda a, b: F.concat(a, b)), "")
+    return verified_documents(table(spark, sf_dir, "documents")).select(
+        "doc_id", "leaf", "subroot", "root", F.sha2(beside, 256).alias("proof_sha256"), "folded_root", "verified",
+    )
