@@ -105,4 +105,4 @@ def test_odd_rows_pass_every_stage(spark, small):
 
 def test_registered(spark, small):
     assert "pipeline" in queries()
-    assert {f"op{n}" for n in range(1, 11)} == {q.split("_")[0] for q in queries() if q.startswith("op") and q[2].isdigit()}
+    assert {f"op{n}" for n in range(1, 14)} == {q.split("_")[0] for q in queries() if q.startswith("op") and q[2].isdigit()}
