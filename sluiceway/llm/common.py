@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -56,3 +58,14 @@ def fresh(name: str) -> str:
 def blocks(n: int, each: int) -> int:
     """How many blocks of about ``each`` rows hold ``n`` rows; at least one."""
     return max(1, -(-n // each))
+
+
+def give_back() -> None:
+    """Hand memory that this Python worker has freed back to the system.
+
+    Spark reuses workers from stage to stage; without this each of them keeps the peak of all.
+    """
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.common import fresh, stored
+from sluiceway.llm.common import fresh, give_back, stored
 
 SAMPLE_ROWS = 20_000  # labelled rows that the model is fitted on, at most
 LEXICON_WORDS = 200
@@ -239,6 +239,7 @@ def with_evidence(docs: DataFrame, model: QualityModel, text_col: str, name: str
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, pa.array(model.probability(x))], names=[*batch.schema.names, name]
             )
+        give_back()
 
     return docs.mapInArrow(run, schema)
 
@@ -287,25 +288,24 @@ def judge(
     host_col: str = "source",
     path_col: str = "lang",
     threshold: float = 0.5,
+    prefix: str = "_",
 ) -> DataFrame:
     """All columns of ``docs`` and ``_evidence, _host_rate, _path_rate, _posterior, _rejected``.
 
     Null counts as the empty text. A null host or path is a site like any other. Every row gets a
     judgement of its own, repeated rows equal ones. An empty table gives an empty result, and
-    without labels nothing is rejected. Clashing columns of ``docs`` are replaced.
+    without labels nothing is rejected. ``prefix`` begins the names of the new columns; columns of
+    ``docs`` with one of these names are replaced, all others stay.
     """
-    names = ["_evidence", "_host_rate", "_path_rate", "_posterior", "_rejected"]
-    evidence = fresh("evidence")
+    names = [f"{prefix}{n}" for n in ("evidence", "host_rate", "path_rate", "posterior", "rejected")]
+    evidence, site = fresh("evidence"), fresh("site")
     scored = stored(with_evidence(docs.drop(*names), model, text_col, evidence), "evidence")
     rates = stored(site_rates(scored, evidence, host_col, path_col), "site-rates")
-    sites = rates.withColumnsRenamed({c: f"_site_{c}" for c in rates.columns})
-    same = scored[host_col].eqNullSafe(F.col("_site_host")) & scored[path_col].eqNullSafe(F.col("_site_path"))
+    sites = rates.withColumnsRenamed({c: f"{site}_{c}" for c in rates.columns})
+    same = scored[host_col].eqNullSafe(F.col(f"{site}_host")) & scored[path_col].eqNullSafe(F.col(f"{site}_path"))
     joined = scored.join(sites, same, "left")
-    e = odds(F.col(evidence)) / odds(F.col("_site_global_rate")) * odds(F.col("_site_path_rate"))
+    e = odds(F.col(evidence)) / odds(F.col(f"{site}_global_rate")) * odds(F.col(f"{site}_path_rate"))
     posterior = e / (1 + e)
     kept = [F.col(c) for c in scored.columns if c != evidence]
-    return joined.select(
-        *kept, F.col(evidence).alias("_evidence"), F.col("_site_host_rate").alias("_host_rate"),
-        F.col("_site_path_rate").alias("_path_rate"), posterior.alias("_posterior"),
-        (posterior >= threshold).alias("_rejected"),
-    )
+    judged = [F.col(evidence), F.col(f"{site}_host_rate"), F.col(f"{site}_path_rate"), posterior, posterior >= threshold]
+    return joined.select(*kept, *[value.alias(name) for value, name in zip(judged, names)])

@@ -9,6 +9,7 @@ Where ``jaccard`` is given these links only find candidates, and the shingle set
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluiceway.llm.common import blocks, stored
+from sluiceway.llm.common import blocks, fresh, give_back, stored
 from sluiceway.llm.components import components
 
 SHARD_ROWS = 30_000
@@ -62,32 +63,46 @@ def majority(hashes: np.ndarray, seeds: tuple[int, ...]) -> tuple[bytes, int]:
     return np.packbits(2 * ones > n).tobytes(), n
 
 
-def set_print(text: bytes, words: int, seeds: tuple[int, ...]) -> tuple[bytes, int, str]:
-    """Fingerprint of the set of shingles, its size, and a digest that only equal sets share."""
+def set_print(text: bytes, words: int, seeds: tuple[int, ...], small: int) -> tuple[bytes, int, str, list[str]]:
+    """Fingerprint of the set of shingles, its size, a digest that only equal sets share, and for a
+    set of ``small`` + 1 shingles the digests of its subsets without one of them."""
     hashes = shingle_hashes(text, words, seeds)
     if len(hashes):
         hashes = hashes[np.unique(hashes[:, 0], return_index=True)[1]]
-    return *majority(hashes, seeds), xxhash.xxh128_hexdigest(hashes[:, 0].tobytes())
+    own, digest = hashes[:, 0], xxhash.xxh128_hexdigest
+    less = [digest(np.delete(own, i).tobytes()) for i in range(len(own))] if len(own) == small + 1 else []
+    return *majority(hashes, seeds), digest(own.tobytes()), less
 
 
-def set_nodes(docs: DataFrame, *, id_col: str, text_col: str, words: int, seeds: tuple[int, ...]) -> DataFrame:
-    """``id, fingerprint, node``: as ``fingerprints``, but each distinct shingle counts once.
+def small_sets(jaccard: float) -> int:
+    """Sets up to this size reach ``jaccard`` with equal sets only, or this size with one more shingle."""
+    return math.ceil(jaccard / (1 - jaccard) - 1e-9) if 0.5 < jaccard < 1 else -1
 
-    ``node`` is fingerprint, size and digest of the set of shingles, with colons between.
+
+def set_nodes(docs: DataFrame, *, id_col: str, text_col: str, words: int, seeds: tuple[int, ...], small: int = 0) -> DataFrame:
+    """``id, fingerprint, node, size, digest, less``: as ``fingerprints``, but each distinct shingle
+    counts once.
+
+    ``node`` is fingerprint, size and digest of the set of shingles, with colons between; ``less``
+    has the digests that ``set_print`` gives for sets a little larger than small ones.
     """
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [set_print(t or b"", words, seeds) for t in batch.column(1).to_pylist()]
+            found = [set_print(t or b"", words, seeds, small) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([f.hex() for f, _, _ in found], pa.string()),
-                 pa.array([f"{f.hex()}:{n}:{d}" for f, n, d in found], pa.string())],
-                names=["id", "fingerprint", "node"],
+                [batch.column(0), pa.array([f.hex() for f, *_ in found], pa.string()),
+                 pa.array([f"{f.hex()}:{n}:{d}" for f, n, d, _ in found], pa.string()),
+                 pa.array([n for _, n, _, _ in found], pa.int64()), pa.array([d for _, _, d, _ in found], pa.string()),
+                 pa.array([less for *_, less in found], pa.list_(pa.string()))],
+                names=["id", "fingerprint", "node", "size", "digest", "less"],
             )
+        give_back()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    return slim.mapInArrow(run, f"id {kind}, fingerprint string, node string").withColumnRenamed("id", id_col)
+    schema = f"id {kind}, fingerprint string, node string, size long, digest string, less array<string>"
+    return slim.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
 def fingerprints(
@@ -109,6 +124,7 @@ def fingerprints(
                  pa.array([n for _, n in found], pa.int64())],
                 names=["id", "fingerprint", "shingles"],
             )
+        give_back()
 
     slim = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return slim.mapInArrow(run, f"id {kind}, fingerprint string, shingles long").withColumnRenamed("id", id_col)
@@ -355,6 +371,7 @@ def similar_pairs(
             texts = batch.column(2).to_pylist()
             sets = [np.unique(shingle_hashes(t or b"", words, seeds[:1])[:, 0]).astype("<u8").tobytes() for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sets, pa.binary())], names=["root", "node", "shingles"])
+        give_back()
 
     one = docs.join(members, F.col("_id").eqNullSafe(F.col("least")))
     sets = one.select("root", "node", F.col("_text").cast("binary").alias("t")).mapInArrow(run, "root string, node string, shingles binary")
@@ -382,6 +399,7 @@ def similar_pairs(
                 root = similar_links(points, sets, group["part"].to_numpy(), radius, jaccard)
                 moved = root != np.arange(len(node))
                 found.append(pd.DataFrame({"a": node[moved], "b": node[root[moved]]}))
+        give_back()
         return pd.concat(found) if found else pd.DataFrame({"a": pd.Series(dtype=str), "b": pd.Series(dtype=str)})
 
     asked = placed.select(task.alias("task"), "root", "node", "part", "shingles")
@@ -410,17 +428,25 @@ def simhash_components(
 
     With ``jaccard``, documents are linked if their sets of shingles have at least that Jaccard
     similarity (sets of 64-bit hashes; repeats don't count). Fingerprints of the sets, within
-    ``radius``, only find the candidates, and equal sets are one node.
+    ``radius``, only find the candidates, and equal sets are one node. Small sets (at 0.8: of four
+    shingles or fewer) need no fingerprints: they reach it with an equal set only, or as a subset
+    of a set with one shingle more, which is an equal join of digests.
     """
     if jaccard is not None:
         keyed = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-        prints = stored(set_nodes(keyed, id_col="_id", text_col="_text", words=words, seeds=seeds), "fingerprints")
-        nodes = stored(prints.groupBy("node").agg(F.min("_id").alias("least")), "fingerprint-nodes")
-        groups = components(near_links(nodes.select("node"), radius, size_ratio=jaccard), "candidate-links")
+        small = small_sets(jaccard)
+        prints = stored(set_nodes(keyed, id_col="_id", text_col="_text", words=words, seeds=seeds, small=small), "fingerprints")
+        same = [F.first(c).alias(c) for c in ("size", "digest", "less")]
+        nodes = stored(prints.groupBy("node").agg(F.min("_id").alias("least"), *same), "fingerprint-nodes")
+        large = nodes.where(F.col("size") > small)
+        groups = components(near_links(large.select("node"), radius, size_ratio=jaccard), "candidate-links")
         links = similar_pairs(
-            keyed, nodes.join(groups, "node"), words=words, seeds=seeds, radius=radius, jaccard=jaccard
+            keyed, large.select("node", "least").join(groups, "node"), words=words, seeds=seeds, radius=radius, jaccard=jaccard
         )
-        return _components_of(prints, nodes, links, id_col)
+        inside = nodes.where(F.col("size") == small).select(F.col("node").alias("a"), "digest")
+        around = nodes.where(F.col("size") == small + 1).select(F.explode("less").alias("digest"), F.col("node").alias("b"))
+        links = links.union(inside.join(around, "digest").select("a", "b"))
+        return _components_of(prints, nodes.select("node", "least"), links, id_col)
     node = F.col("fingerprint") if size_ratio is None else F.concat_ws(":", "fingerprint", "shingles")
     prints = stored(
         fingerprints(docs, id_col=id_col, text_col=text_col, words=words, seeds=seeds).select(
@@ -446,7 +472,8 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """The rows of ``docs``, with all their columns, that stay when each group keeps one document.
 
     Of a group of near-duplicates (see ``simhash_components``, which takes ``options``) the one
-    with the least id stays, null ids last; of rows that repeat both id and text one stays.
+    with the least id stays, null ids last; of rows that repeat both id and text one stays. Ids are
+    whole numbers. Null and empty texts are one group.
     """
     key = F.struct(
         F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("k"),
@@ -455,8 +482,9 @@ def one_per_group(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     found = simhash_components(
         docs.select(key.alias("_key"), F.col(text_col).alias("_text")), id_col="_key", text_col="_text", **options
     )
-    first = stored(found.select(F.col("component_id.k").alias("_k"), F.col("component_id.h").alias("_h")).distinct(), "firsts")
-    keyed = docs.withColumn("_key", key).withColumn("_k", F.col("_key.k")).withColumn("_h", F.col("_key.h")).drop("_key")
-    one = Window.partitionBy("_k", "_h").orderBy(F.lit(1))
-    stay = keyed.join(first, ["_k", "_h"], "left_semi").withColumn("_at", F.row_number().over(one)).where("_at = 1")
+    k, h, at = fresh("k"), fresh("h"), fresh("at")
+    first = stored(found.select(F.col("component_id.k").alias(k), F.col("component_id.h").alias(h)).distinct(), "firsts")
+    keyed = docs.withColumns({k: key["k"], h: key["h"]})
+    one = Window.partitionBy(k, h).orderBy(F.lit(1))
+    stay = keyed.join(first, [k, h], "left_semi").withColumn(at, F.row_number().over(one)).where(F.col(at) == 1)
     return stay.select(*docs.columns)
