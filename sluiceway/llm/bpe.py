@@ -13,6 +13,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 SPACE = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 ODD_SPACE = regex.compile("[\x1c-\x1f]")
 SPLIT_SPACE = regex.compile(f"[{SPACE}]+")
-CACHED = 300_000
+CACHED = 300_000  # chunks, and as many pieces of them, that a worker remembers
+LONGEST = 100  # longer ones are not remembered
 
 
 def byte_letters() -> list[str]:
@@ -33,6 +35,16 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(spare)) for b in range(256)]
 
 
+Coded = tuple[int, str, str]
+
+
+def remember(known: dict, limit: int = CACHED) -> None:
+    """Make room in a full cache: the older half goes."""
+    if len(known) >= limit:
+        for key in list(islice(known, len(known) // 2)):
+            del known[key]
+
+
 class Bpe:
     """Encode and decode with the BPE model of a ``tokenizers`` JSON file.
 
@@ -62,7 +74,9 @@ class Bpe:
         table = byte_letters()
         self.letters = [self.vocab[c] for c in table]
         self.endings = [self.vocab[c + self.suffix] for c in table]
-        self.chunks: dict[str, tuple[int, str, str]] = {}  # what a worker remembers between tasks
+        # What a worker remembers between tasks: number of ids, the ids, the vocabulary strings.
+        self.chunks: dict[str, Coded] = {}
+        self.parts: dict[str, Coded] = {}
 
     def merge(self, piece: str) -> list[int]:
         """Ids of one piece: repeatedly join the pair with the lowest rank, leftmost first."""
@@ -95,19 +109,51 @@ class Bpe:
 
     def encode_chunk(self, chunk: str) -> list[int]:
         """Ids of a text without white space."""
-        out: list[int] = []
+        return [i for kind, part in self.split(chunk) for i in ([self.special[part]] if kind else self.merge(part))]
+
+    def split(self, chunk: str) -> Iterator[tuple[bool, str]]:
+        """(whether it is a special token, part): the parts of a chunk that are encoded apart."""
         at = 0
         for m in self.specials.finditer(chunk):
-            out += self._plain(chunk[at : m.start()])
-            out.append(self.special[m[0]])
+            yield from self._plain(chunk[at : m.start()])
+            yield True, m[0]
             at = m.end()
-        return out + self._plain(chunk[at:])
+        yield from self._plain(chunk[at:])
 
-    def _plain(self, text: str) -> list[int]:
-        if not text:
-            return []
+    def _plain(self, text: str) -> Iterator[tuple[bool, str]]:
         low = text.lower() if text.isascii() else "".join(c.lower() for c in unicodedata.normalize("NFC", text))
-        return [i for m in self.pieces.finditer(low) for i in self.merge(m[0])]
+        return ((False, m[0]) for m in self.pieces.finditer(low))
+
+    def coded(self, chunks: list[str]) -> list[Coded]:
+        """Every chunk as (number of ids, ids, vocabulary strings); equal ones are encoded once."""
+        known = self.chunks
+        fresh: dict[str, Coded] = {}
+        for chunk in set(chunks).difference(known):
+            fresh[chunk] = self._joined([self._part(*part) for part in self.split(chunk)])
+        if not fresh:
+            return [known[c] for c in chunks]
+        out = [fresh[c] if c in fresh else known[c] for c in chunks]
+        for chunk, value in fresh.items():
+            if len(chunk) <= LONGEST:
+                remember(known)
+                known[chunk] = value
+        return out
+
+    def _part(self, special: bool, part: str) -> Coded:
+        found = self.parts.get(part)
+        if found is None or special:
+            ids = [self.special[part]] if special else self.merge(part)
+            found = len(ids), " ".join(map(str, ids)), self.decode(ids)
+            if len(part) <= LONGEST and not special:
+                remember(self.parts)
+                self.parts[part] = found
+        return found
+
+    @staticmethod
+    def _joined(parts: list[Coded]) -> Coded:
+        if len(parts) == 1:
+            return parts[0]
+        return sum([p[0] for p in parts]), " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
 
     def encode(self, text: str) -> list[int]:
         return [i for chunk in chunks(text) for i in self.encode_chunk(chunk)]
@@ -139,7 +185,8 @@ def bpe_round_trip(
     of the decoded text. Texts are encoded whole, without added special tokens; special tokens'
     strings within a text get their own ids. Null counts as the empty text and has no tokens.
     Repeated rows and null ids give a row each; other columns are not read. Memory per task is one
-    Arrow batch and at most ``CACHED`` chunks, which a worker keeps between tasks.
+    Arrow batch and at most ``CACHED`` chunks and pieces of up to ``LONGEST`` characters, which a
+    worker keeps between tasks.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rest = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>, decoded string"
@@ -149,21 +196,10 @@ def bpe_round_trip(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(tokenizer_path)
-        known = bpe.chunks
-
-        def coded(chunk: str) -> tuple[int, str, str]:
-            found = known.get(chunk)
-            if found is None:
-                ids = bpe.encode_chunk(chunk)
-                if len(known) >= CACHED:
-                    known.clear()
-                found = known[chunk] = (len(ids), " ".join(map(str, ids)), bpe.decode(ids))
-            return found
-
         for batch in batches:
             counts, ids_out, texts_out = [], [], []
             for text in batch.column(1).to_pylist():
-                parts = [coded(c) for c in chunks(text)] if text else []
+                parts = bpe.coded(chunks(text))
                 counts.append(sum([p[0] for p in parts]))
                 ids, decoded = " ".join([p[1] for p in parts]), " ".join([p[2] for p in parts])
                 ids_out.append(sha(ids) if digests else [int(i) for i in ids.split()])

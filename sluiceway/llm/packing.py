@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluiceway.llm.bpe import chunks
+from sluiceway.llm.bpe import LONGEST, chunks, remember
 from sluiceway.llm.common import blocks, stored
 
 CAPACITY = 4096
@@ -35,11 +35,11 @@ EPOCHS = 2
 GENERATIONS = 4
 LEVELS = 3
 WELL_FILLED = 0.998
-CACHED = 500_000  # chunks that a worker remembers
+CACHED = 500_000  # chunks, and as many words of plain letters, after which a worker forgets the older half
 
 
-# Letters whose normal form and lower case are single letters again, and stops after them.
-PLAIN = regex.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3]+)([.,]*)")
+# Letters whose normal form and lower case are single letters again.
+PLAIN = regex.compile(r"[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u01c3]+")
 
 
 class ChunkIds:
@@ -60,49 +60,71 @@ class ChunkIds:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        """Make sure that all of ``parts`` are known."""
-        known = self.known
-        new = parts.difference(known)
-        if len(known) + 2 * len(new) > CACHED:
-            known.clear()
-            new = parts
-        cut = {c: m.groups() for c in new if (m := PLAIN.fullmatch(c))}
-        words = {core for core, _ in cut.values()}.difference(known)
-        self._encode(list(words), list({tail for _, tail in cut.values()}.union(new.difference(cut)).difference(known)))
-        for c, (core, tail) in cut.items():
-            if tail:
-                known[c] = known[core] + known[tail]
+        self.words: dict[str, bytes] = {}  # plain letters
+        self.tails: dict[str, bytes] = {"": b""}
+
+    def coded(self, parts: list[list[str]]) -> dict[str, bytes]:
+        """The ids of all chunks of some texts; those that are not too long are remembered."""
+        known, words, tails = self.known, self.words, self.tails
+        remember(words, CACHED)
+        wanted = set().union(*parts)
+        found = {c: known[c] for c in wanted if c in known}
+        new = wanted.difference(found)
+        cut, others, cores = [], [], set()
+        for c in new:
+            core = c.rstrip(".,")
+            if core in words:
+                cut.append((c, core))
+            elif len(c) <= LONGEST and PLAIN.fullmatch(core):
+                cut.append((c, core))
+                cores.add(core)
+            else:
+                others.append(c)
+        if cores:
+            self._learn_words(list(cores), found)
+        ends = {c[len(core) :] for c, core in cut}.difference(tails)
+        if ends or others:
+            own: dict[str, bytes] = {}
+            self._encode([*ends, *others], own)
+            tails.update((t, own[t]) for t in ends if len(t) <= 3)
+            found.update(own)
+        for c, core in cut:
+            tail = c[len(core) :]
+            found[c] = (words[core] if core in words else found[core]) + (tails[tail] if tail in tails else found[tail])
+        remember(known, CACHED)
+        known.update((c, found[c]) for c in new if len(c) <= LONGEST)
+        return found
 
     def each(self, texts: pa.Array) -> Iterator[tuple[int, dict[str, bytes], list[str]]]:
-        """(row, known chunks, chunks of the text), learning the chunks of many texts at a time."""
+        """(row, ids of chunks, chunks of the text), coding the chunks of many texts at a time."""
         group: list[list[str]] = []
         held, first = 0, 0
         for row in range(len(texts)):
             group.append(chunks(texts[row].as_py() or ""))
             held += len(group[-1])
             if held > 200_000 or row == len(texts) - 1:
-                self.learn(set().union(*group))
+                found = self.coded(group)
                 for at, parts in enumerate(group):
-                    yield first + at, self.known, parts
+                    yield first + at, found, parts
                 group, held, first = [], 0, row + 1
 
-    def _encode(self, words: list[str], others: list[str]) -> None:
+    def _learn_words(self, words: list[str], found: dict[str, bytes]) -> None:
         for at in range(0, len(words), 10_000):
             some = words[at : at + 10_000]
             (coded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(coded.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
-                others = others + some
+                self._encode(some, found)
                 continue
             raw, begin = ids.tobytes(), 0
             for word, stop in zip(some, (4 * stops).tolist()):
-                self.known[word] = raw[begin:stop]
+                self.words[word] = raw[begin:stop]
                 begin = stop
-        for c, e in zip(others, self.tokenizer.encode_batch_fast(others, add_special_tokens=False)):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
+
+    def _encode(self, some: list[str], found: dict[str, bytes]) -> None:
+        for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+            found[c] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
