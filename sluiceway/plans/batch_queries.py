@@ -10,6 +10,7 @@ from sluiceway.functions import names
 from sluiceway.functions.time import now_ms
 from sluiceway.model import StreamSpec
 from sluiceway.operators import (
+    asof,
     anchored,
     channels,
     control,
@@ -822,3 +823,31 @@ def _(spark, sf):
     )
     tapped = rows.tap_rows(rows.debug_tap(ev, "sink_rows"), "Sink", F.col("ch"), 4, switches)
     return tapped.select("event_id", "ch")
+
+
+LIVE_ROUTE_SQL = """
+WITH t AS (
+  SELECT event_id, (user_id % 8)::INTEGER AS ch, event_type,
+    CASE event_type WHEN 'signup' THEN true WHEN 'error' THEN false END AS listed FROM events),
+h AS (
+  SELECT *, coalesce(last_value(listed IGNORE NULLS) OVER (PARTITION BY ch ORDER BY event_id), false)::INTEGER AS kind FROM t),
+r AS (
+  SELECT event_id, ch, kind, lag(kind) OVER (PARTITION BY ch ORDER BY event_id) AS before
+  FROM h WHERE event_type NOT IN ('signup', 'error'))
+SELECT event_id, ch, kind AS channel_type, coalesce(before <> kind, false) AS switched, coalesce(before, kind) AS path FROM r
+"""
+
+
+def live_log(spark, sf):
+    """Rows and control rows in one order: sign-ups put their channel into the table, errors remove it."""
+    op = F.when(F.col("event_type") == "signup", control.PUT).when(F.col("event_type") == "error", control.REMOVE)
+    return table(spark, sf, "events").select(
+        F.col("event_id").alias("seq"), (F.col("user_id") % 8).cast("int").alias("ch"), op.alias("op"))
+
+
+@query("live_route_by_table", LIVE_ROUTE_SQL)
+def _(spark, sf):
+    """Every row's way by the channel table as it stood when the row went by."""
+    log = live_log(spark, sf)
+    routed = asof.route_by_live_table(log.where("op is null").drop("op"), log.where("op is not null"))
+    return routed.withColumnRenamed("seq", "event_id")

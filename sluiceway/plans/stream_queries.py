@@ -32,6 +32,7 @@ from sluiceway.session import shared_dir
 from sluiceway.sources.channel import channel_read, channel_stream
 from sluiceway.streaming import channels, counting, handover, sinks, state, windows
 from sluiceway.streaming.control import changelog_state, changelog_stream
+from sluiceway.streaming.routing import route_live_stream
 from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
 from sluiceway.streaming.tables import all_batches, latest_rows, put_batch
 
@@ -209,6 +210,17 @@ def _(spark, sf):
     return spark.read.schema(routed.schema).parquet(f"{root}/out")
 
 
+@query("stream_live_route_by_table", batch.LIVE_ROUTE_SQL)
+def _(spark, sf):
+    """The same while rows and control rows arrive, the table being carried between micro-batches."""
+    root = shared_dir(spark, "stream-live-route")
+    log = batch.live_log(spark, sf)
+    step = lambda stream: drain(route_live_stream(stream, root, f"{root}/checkpoint"))
+    in_two_parts(spark, log, F.col("seq") < halfway(spark, sf), step)
+    out = all_batches(spark, f"{root}/out", "seq long, ch int, channel_type int, switched boolean, path int")
+    return out.drop("batch").withColumnRenamed("seq", "event_id")
+
+
 @query("stream_lines_source", "SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents")
 def _(spark, sf):
     """The lines of all texts as a stream, until it is paused."""
