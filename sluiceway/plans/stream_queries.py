@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from sluiceway.functions.time import epoch_ms
 from sluiceway.operators.channels import hash_channel
 from sluiceway.operators.control import topology_view
+from sluiceway.operators.counting import running_count
 from sluiceway.operators.rows import tokenize, union_tagged
 from sluiceway.operators.routing import route_by_table
 from sluiceway.plans import batch_queries as batch
@@ -28,13 +29,14 @@ from sluiceway.plans.tables import (
     market,
     table,
 )
-from sluiceway.session import shared_dir
+from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
 from sluiceway.streaming import channels, counting, handover, sinks, state, windows
+from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
 from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
-from sluiceway.streaming.tables import all_batches, latest_rows, put_batch
+from sluiceway.streaming.tables import ChangedRows, all_batches, latest_rows, put_batch
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -303,6 +305,37 @@ def _(spark, sf):
     return channel_read(spark, {"in": f"{root}/channel"}, [1]).select("event_id", "stream")
 
 
+@query(
+    "channel_log",
+    """SELECT event_id, (user_id % 2)::INTEGER AS ch, event_type,
+      row_number() OVER (PARTITION BY user_id % 2 ORDER BY event_id) - 1 AS position,
+      row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY event_id) AS cnt FROM events""",
+)
+def _(spark, sf):
+    """Events parked in an ordered log and counted on their way out, a few blocks at a time."""
+    root = shared_dir(spark, "channel-log")
+    ev = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 2).cast("int").alias("ch"))
+
+    def step(stream: DataFrame) -> None:
+        drain(channel_log_write(stream, f"{root}/log", f"{root}/checkpoint", ["event_id"], block_rows=2_000))
+
+    in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
+    kept = ChangedRows(f"{root}/counts", ["word"], "word string, cnt long")
+
+    def count(rows: DataFrame, number: int) -> None:
+        with written_removed(spark):
+            words = rows.withColumn("word", F.concat_ws("-", "ch", "event_type"))
+            counted = running_count(words, ["position"], start=kept.at(spark, number - 1))
+            put_batch(counted, f"{root}/out", number)
+            out = spark.read.schema("word string, cnt long").parquet(f"{root}/out/batch={number}")
+            kept.put(out.groupBy("word").agg(F.max("cnt").alias("cnt")), number)
+
+    schema = "event_id long, event_type string, ch int"
+    LogReader(spark, f"{root}/log", schema, f"{root}/progress", budget=4_000).drain(count)
+    out = all_batches(spark, f"{root}/out", f"{schema}, position long, cnt long")
+    return out.select("event_id", "ch", "event_type", "position", "cnt")
+
+
 _TYPE_COUNTS_SQL = """
 SELECT event_id, event_type, row_number() OVER (PARTITION BY event_type ORDER BY event_id) AS cnt FROM events
 """
