@@ -41,14 +41,3 @@ def lookup(
     salts = F.sequence(F.lit(0), F.coalesce("_groups", F.lit(1)) - 1)
     copied = same_keys(table, hot, on, "left").withColumn("_salt", F.explode(salts))
     return same_keys(dealt.drop("_groups"), copied.drop("_groups"), [*on, "_salt"]).drop("_salt")
-
-
-def dealt(left: DataFrame, right: DataFrame, groups: int) -> tuple[DataFrame, DataFrame]:
-    """Both sides of an inner join with a ``_salt`` to join on as well.
-
-    Each left row goes to one of ``groups`` groups and each right row to all of them, so a frequent
-    key is spread over that many tasks. Works on streams, where adaptive execution does not.
-    """
-    salt = F.pmod(F.xxhash64(*left.columns), F.lit(groups)).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    return left.withColumn("_salt", salt), right.withColumn("_salt", every)

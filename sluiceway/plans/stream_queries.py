@@ -31,7 +31,7 @@ from sluiceway.plans.tables import (
 )
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.streaming import channels, counting, handover, sinks, state, windows
+from sluiceway.streaming import channels, corrections, counting, handover, sinks, state, windows
 from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
@@ -46,11 +46,6 @@ def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
-def with_event_time(df: DataFrame) -> DataFrame:
-    """Watermarks need a timestamp with a zone; the given ones are read as UTC."""
-    return df.withColumn("ts", F.timestamp_millis(epoch_ms(df, "ts")))
-
-
 def in_two_parts(
     spark: SparkSession, df: DataFrame, first, step: Callable[[DataFrame], None]
 ) -> None:
@@ -63,6 +58,16 @@ def in_two_parts(
     step(stream.parquet(folder))
 
 
+def in_any_order(spark: SparkSession, df: DataFrame, step: Callable[[DataFrame], None], parts: int = 5) -> None:
+    """The same with ``parts`` parts to which rows are dealt by a hash, so early rows come late."""
+    folder = shared_dir(spark, "arrivals")
+    stream = spark.readStream.schema(df.schema)
+    for part in range(parts):
+        mine = F.pmod(F.xxhash64("event_id"), F.lit(parts)) == part
+        df.where(mine).write.mode("append").parquet(folder)
+        step(stream.parquet(folder))
+
+
 def _half_of(spark, sf, name: str, column: str):
     top = table(spark, sf, name).agg(F.expr(f"(max({column}) + 1) div 2").alias("half"))
     return F.col(column) < top.scalar()
@@ -101,22 +106,27 @@ def _(spark, sf):
     return out.select("word", "doc_id", "pos", "cnt")
 
 
+_JOIN_COLUMNS = ({"event_id": "person_event"}, {"event_id": "auction_event", "value": "value"})
+
+
 @query("stream_window_join", batch.WINDOW_JOIN_SQL)
 def _(spark, sf):
+    """Rows arrive in no order; a pair comes out when the later of its rows is there."""
     root = shared_dir(spark, "stream-window-join")
-    ev = with_event_time(table_stream(spark, sf, "events"))
-    people = ev.where("event_type = 'signup'").select(
-        "user_id", "ts", F.col("event_id").alias("person_event")
-    )
-    sold = ev.where("event_type = 'purchase'").select(
-        "user_id", "ts", F.col("event_id").alias("auction_event"), "value"
-    )
-    joined = windows.window_join_stream(
-        people, sold, ("user_id", "user_id"), ("ts", "ts"), "1 hour", "1 hour", salts=2
-    )
-    out = joined.select("user_id", "window_ms", "person_event", "auction_event", "value")
-    drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
-    return spark.read.schema(out.schema).parquet(f"{root}/out")
+    ev = events(spark, sf).where("event_type in ('signup', 'purchase')")
+    ev = ev.select("event_id", "user_id", "ms", "value", F.col("event_type").alias("kind"))
+
+    def step(stream: DataFrame) -> None:
+        drain(
+            corrections.window_join_delta_stream(
+                stream, ("signup", "purchase"), "user_id", "ms", HOUR_MS, _JOIN_COLUMNS, root,
+                f"{root}/checkpoint", buckets=16,
+            )
+        )
+
+    in_any_order(spark, ev, step)
+    out = all_batches(spark, f"{root}/out", "user_id long, window_ms long, person_event long, auction_event long, value double")
+    return out.select("user_id", "window_ms", "person_event", "auction_event", "value")
 
 
 @query(
@@ -125,12 +135,14 @@ def _(spark, sf):
       FROM events GROUP BY 1""",
 )
 def _(spark, sf):
-    """All windows: those that are final and, as they stand, those still open."""
+    """The changelog of the counts, which late rows correct, folded at the end."""
     root = shared_dir(spark, "stream-tumbling")
-    ev = with_event_time(table_stream(spark, sf, "events")).select("ts")
-    out = windows.tumbling_counts_stream(ev, "ts", "1 hour", "0 seconds")
-    drain(with_batches(out, f"{root}/checkpoint", lambda b, n: put_batch(b, f"{root}/out", n), "update"))
-    return latest_rows(spark, f"{root}/out", "window_ms long, cnt long", ["window_ms"])
+
+    def step(stream: DataFrame) -> None:
+        drain(corrections.tumbling_counts_delta_stream(stream, "ms", HOUR_MS, root, f"{root}/checkpoint", buckets=16))
+
+    in_any_order(spark, events(spark, sf).select("event_id", "ms"), step)
+    return corrections.folded(spark, f"{root}/out", "window_ms long, cnt long")
 
 
 @query("stream_anchored_window", batch.ANCHORED_SQL)
@@ -156,7 +168,6 @@ def _(spark, sf):
 
 _MARKET = "event_id long, user_id long, ms long, person_event long, kind string, auction_event long, value double, ch int"
 _JOINED = "ch int, win long, user_id long, person_event long, auction_event long, value double"
-_JOIN_COLUMNS = ({"event_id": "person_event"}, {"event_id": "auction_event", "value": "value"})
 
 
 def _market_join(root: str) -> Callable:

@@ -8,47 +8,10 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from sluiceway.operators.anchored import closed_windows, place_rows, state_after, window_edges
 from sluiceway.operators.joins import join_placed
-from sluiceway.operators.lookup import dealt
 from sluiceway.streaming.runs import with_batches
 from sluiceway.streaming.tables import batch_table, keep_from, last_batch, put_batch
 
 
-def tumbling_counts_stream(df: DataFrame, ts: str, width: str, delay: str) -> DataFrame:
-    """Rows per aligned window; a window is final once the watermark has passed its end."""
-    counts = df.withWatermark(ts, delay).groupBy(F.window(ts, width)).agg(
-        F.count(F.lit(1)).alias("cnt")
-    )
-    return counts.select(F.unix_millis("window.start").alias("window_ms"), "cnt")
-
-
-def window_join_stream(
-    left: DataFrame,
-    right: DataFrame,
-    key: tuple[str, str],
-    ts: tuple[str, str],
-    width: str,
-    delay: str,
-    salts: int = 1,
-) -> DataFrame:
-    """Inner join on the key inside aligned windows; the watermark bounds the kept state.
-
-    Rows later than ``delay`` behind the newest row are dropped, which the batch form never does.
-    ``salts`` spreads each key of the left side over that many tasks and copies the right side to
-    them: choose it by the most frequent left key, with the smaller side on the right.
-    """
-    left, right = dealt(left, right, salts)
-    left = left.withWatermark(ts[0], delay).withColumn("_window", F.window(ts[0], width))
-    right = right.withWatermark(ts[1], delay).withColumn("_window", F.window(ts[1], width))
-    right = right.withColumnRenamed("_window", "_other").withColumnRenamed(key[1], "_other_key")
-    right = right.drop(*[c for c in (ts[1],) if c in left.columns])
-    right = right.withColumnRenamed("_salt", "_other_salt")
-    on = (F.col(key[0]) == F.col("_other_key")) & (F.col("_window") == F.col("_other"))
-    joined = left.join(right, on & (F.col("_salt") == F.col("_other_salt")))
-    return joined.withColumn("window_ms", F.unix_millis("_window.start")).drop(
-        "_window", "_other", "_other_key", "_salt", "_other_salt"
-    )
-
-
 def anchored_window_stream(
     rows: DataFrame,
     channel: str,
