@@ -8,6 +8,7 @@ query runs, stops and goes on between them.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,7 +32,7 @@ from sluiceway.plans.tables import (
 )
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.streaming import channels, corrections, counting, handover, sinks, state, windows
+from sluiceway.streaming import channels, corrections, counting, handover, moves, sinks, state, windows
 from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
@@ -401,6 +402,56 @@ def _(spark, sf):
     return a.unionByName(b).select("event_id", F.col("word").alias("event_type"), "cnt")
 
 
+def _moved_sql(moves: str) -> str:
+    return f"""SELECT event_id, (user_id % 2)::INTEGER AS ch, event_type,
+      CASE WHEN event_id >= (max(event_id) OVER () + 1) // 2 AND {moves} THEN 'second' ELSE 'first' END AS job,
+      row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY event_id) AS cnt FROM events"""
+
+
+def _moved(spark, sf, instances: list[int] | None) -> DataFrame:
+    """Counts per channel and type, some channels going to a second job halfway."""
+    root = shared_dir(spark, "moved")
+    _park_events(spark, sf, root)
+
+    def build(rows: DataFrame, path: str, checkpoint: str, start: DataFrame | None):
+        words = rows.select("event_id", F.concat_ws("-", "channel", "event_type").alias("word"))
+        return counting.running_count_stream(words, ["event_id"], path, checkpoint, start)
+
+    def left(path: str, start: DataFrame | None) -> DataFrame:
+        counts = counting.counters(spark, path, start)
+        return counts and counts.withColumn("channel", F.split_part("word", F.lit("-"), F.lit(1)).cast("int"))
+
+    table_of = "first-task-Counter"
+    log = [(table_of, f"instance-status-{i}", "put", RUNNING) for i in (0, 1)]
+    log += handover.handover_changes("first", "second", "Counter", {"events": 2}, "counts", instances)
+    log = spark.createDataFrame(
+        [(n, *row) for n, row in enumerate(log)], "seq long, tbl string, key string, op string, value string"
+    )
+    versions = [moves.owners(log, "Counter", seq) for seq in (1, log.count())]
+    mover = moves.Mover(spark, f"{root}/channel", _EVENT, moves.Movable(build, left), f"{root}/jobs")
+    before = moves.steps_of(versions[:1])[1]
+    stretches = {s.name: s for s in [*before, *mover.follow(versions)]}
+    outs = [
+        all_batches(spark, f"{mover.folder(s)}/out", "word string, event_id long, cnt long").withColumn("job", F.lit(s.job))
+        for s in stretches.values()
+    ]
+    word = [F.split_part("word", F.lit("-"), F.lit(n)) for n in (1, 2)]
+    rows = reduce(DataFrame.unionByName, outs)
+    return rows.select("event_id", word[0].cast("int").alias("ch"), word[1].alias("event_type"), "job", "cnt")
+
+
+@query("handover_instance", _moved_sql("user_id % 2 = 1"))
+def _(spark, sf):
+    """One instance moves by its control rows; the other stays and goes on."""
+    return _moved(spark, sf, [1])
+
+
+@query("handover_bulk", _moved_sql("true"))
+def _(spark, sf):
+    """All instances move at once."""
+    return _moved(spark, sf, None)
+
+
 @query("handover_keyed_state", _TYPE_COUNTS_SQL)
 def _(spark, sf):
     """The same with Spark's keyed state: read from the old query, given to the new one."""

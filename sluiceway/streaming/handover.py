@@ -50,23 +50,30 @@ def handover(
 
 
 def handover_changes(
-    old_job: str, new_job: str, operator: str, inputs: dict[str, int], output: str
+    old_job: str,
+    new_job: str,
+    operator: str,
+    inputs: dict[str, int],
+    output: str,
+    instances: list[int] | None = None,
 ) -> list[tuple[str, str, str, str]]:
-    """Control rows ``(tbl, key, op, value)`` that move all instances of an operator.
+    """Control rows ``(tbl, key, op, value)`` that move an operator's instances, by default all.
 
     ``inputs`` maps the operator's input streams to their parallelism. Rows are in the order they
     have to be applied: buffer the channels, pause the old instances, point the new ones at the
     buffered input and the old output, run.
     """
     n = max(inputs.values())
+    moved = list(range(n)) if instances is None else instances
     old_table, new_table = f"{old_job}-task-{operator}", f"{new_job}-task-{operator}"
     changes = [
         (stream, str(i), PUT_IF_ABSENT, f"{stream}-{i}")
         for stream, channels in {**inputs, output: n}.items()
-        for i in range(channels)
+        for i in moved
+        if i < channels
     ]
-    changes += [(old_table, f"instance-status-{i}", PUT, PAUSED) for i in range(n)]
-    for i in range(n):
+    changes += [(old_table, f"instance-status-{i}", PUT, PAUSED) for i in moved]
+    for i in moved:
         changes.append((new_table, f"input-stream-{i}", PUT, ",".join(inputs)))
         changes.append((new_table, f"output-stream-{i}", PUT, output))
         changes.append((new_table, f"instance-status-{i}", PUT, RUNNING))
