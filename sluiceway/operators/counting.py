@@ -23,10 +23,12 @@ def running_count(
     word: str = "word",
     start: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
+    totals: DataFrame | None = None,
 ) -> DataFrame:
     """For every row the count of its word so far, in the given order.
 
-    ``start`` (``word, cnt``) continues from counts reached before. Frequent words are numbered
+    ``start`` (``word, cnt``) continues from counts reached before; ``totals`` are the words' own
+    counts, if they are known. Frequent words are numbered
     in blocks and look their start up in groups, so no task gets all rows of a word. A null word
     is counted like any other.
     """
@@ -34,7 +36,7 @@ def running_count(
     if start is None:
         return counted
     start = start.select(word, F.col("cnt").alias("_start"))
-    totals = word_count(words, word)
+    totals = word_count(words, word) if totals is None else totals
     full = same_keys(totals, start, [word], "left").select(
         word, F.coalesce("_start", F.lit(0).cast("long")).alias("_start")
     )

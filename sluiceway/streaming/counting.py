@@ -8,8 +8,10 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from sluiceway.operators.counting import running_count, word_count
 from sluiceway.operators.lookup import HOT_ROWS, same_keys
+from sluiceway.session import written
 from sluiceway.streaming.runs import with_batches
-from sluiceway.streaming.tables import ChangedRows, put_batch
+from sluiceway.streaming.segments import Segments
+from sluiceway.streaming.tables import put_batch
 
 
 def word_count_stream(words: DataFrame, path: str, checkpoint: str) -> DataStreamWriter:
@@ -31,39 +33,33 @@ def running_count_stream(
 ) -> DataStreamWriter:
     """The count so far for every row, rows ordered by ``order`` inside a micro-batch.
 
-    The counters are a table next to the output (``path/state``), to which a micro-batch writes
-    the words it has changed: they outlive the query, and ``start`` takes over those of another
-    one. A micro-batch is counted by the batch operator, so a word with a third of all rows is
-    still spread.
+    The counters are a bucketed table next to the output (``path/state``), of which a micro-batch
+    reads the buckets of its words and to which it writes the words it has changed: they outlive
+    the query, and ``start`` takes over those of another one. A micro-batch is counted by the batch
+    operator, so a word with a third of all rows is still spread.
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        kept = _state(batch.schema["word"].dataType.simpleString(), path)
-        before = kept.at(spark, number - 1)
-        if before is None:
-            before = start
-        elif start is not None:
-            before = add_missing(before, start)
         batch = batch.persist()
         try:
-            out = running_count(batch, order, start=before, hot_rows=hot_rows)
-            put_batch(out, f"{path}/out", number)
-            counts = word_count(batch)
-            if before is not None:
-                known = before.select("word", F.col("cnt").alias("_before"))
-                counts = same_keys(counts, known, ["word"], "left").select(
-                    "word", (F.col("cnt") + F.coalesce("_before", F.lit(0))).alias("cnt")
-                )
-            kept.put(counts, number)
+            kept = _state(batch.schema["word"].dataType.simpleString(), path)
+            counts = written(word_count(batch), "batch-counts")
+            before = kept.at(batch.sparkSession, number - 1, near=counts)
+            if start is not None:
+                before = add_missing(before, start)
+            before = written(same_keys(counts.select("word"), before, ["word"]), "counts-before")
+            put_batch(running_count(batch, order, start=before, hot_rows=hot_rows, totals=counts), f"{path}/out", number)
+            known = before.withColumnRenamed("cnt", "_before")
+            now = F.col("cnt") + F.coalesce("_before", F.lit(0))
+            kept.put(same_keys(counts, known, ["word"], "left").select("word", now.alias("cnt")), number)
         finally:
             batch.unpersist()
 
     return with_batches(words, checkpoint, handle)
 
 
-def _state(kind: str, path: str) -> ChangedRows:
-    return ChangedRows(f"{path}/state", ["word"], f"word {kind}, cnt long")
+def _state(kind: str, path: str) -> Segments:
+    return Segments(f"{path}/state", f"word {kind}, cnt long", ["word"], ["word"])
 
 
 def add_missing(now: DataFrame, start: DataFrame) -> DataFrame:
@@ -76,5 +72,6 @@ def add_missing(now: DataFrame, start: DataFrame) -> DataFrame:
 def counters(spark: SparkSession, path: str, start: DataFrame | None = None) -> DataFrame | None:
     """The counters a running count has reached; those of ``start`` that it didn't touch as well."""
     kept = _state("string", path)
-    now = kept.at(spark, kept.last(spark))
+    last = kept.last(spark)
+    now = None if last < 0 else kept.at(spark, last)
     return now if start is None else start if now is None else add_missing(now, start)
