@@ -14,6 +14,7 @@ CHANGELOG = "seq LONG, tbl STRING, key STRING, op STRING, value STRING"
 CHANNEL_TABLE = "stream STRING, channel INT, queue STRING"
 
 NATIVE, DURABLE = 0, 1  # channel_type of a row
+RUNNING, PAUSED = "Running", "Paused"  # status of an operator instance
 
 
 def new_stream_id() -> str:

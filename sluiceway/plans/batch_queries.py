@@ -7,15 +7,18 @@ from collections.abc import Iterator
 from pyspark.sql import functions as F
 
 from sluiceway.functions import names
+from sluiceway.functions.numbers import seeded
 from sluiceway.functions.time import now_ms
-from sluiceway.model import StreamSpec
+from sluiceway.model import PAUSED, RUNNING, StreamSpec
 from sluiceway.operators import (
+    admission,
     asof,
     anchored,
     channels,
     control,
     counting,
     joins,
+    pauses,
     routing,
     rows,
     windows,
@@ -235,6 +238,23 @@ def _(spark, sf):
     return per_second.withColumn("over", F.col("rate_counter") > 100)
 
 
+ADMITTED_SQL = f"""
+WITH {EVENTS_SQL},
+q AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) - 1 AS i FROM ev),
+t AS (SELECT *, i % 2 AS lane, i // 2 AS turn FROM q),
+s AS (
+  SELECT *, turn + max((ms // {HOUR_MS}) - turn) OVER (PARTITION BY event_type, lane ORDER BY turn) AS slot FROM t)
+SELECT event_id, event_type, ms, greatest(ms, slot * {HOUR_MS})::BIGINT AS admitted FROM s
+"""
+
+
+@query("rate_limit_admitted", ADMITTED_SQL)
+def _(spark, sf):
+    """When a limit of two events per type and hour lets each event through."""
+    ev = events(spark, sf).select("event_id", "event_type", "ms")
+    return admission.admit(ev, ["event_type"], "ms", ["event_id"], rate=2, slot_ms=HOUR_MS)
+
+
 @query(
     "event_counters",
     f"""WITH {SECONDS_SQL}
@@ -851,3 +871,45 @@ def _(spark, sf):
     log = live_log(spark, sf)
     routed = asof.route_by_live_table(log.where("op is null").drop("op"), log.where("op is not null"))
     return routed.withColumnRenamed("seq", "event_id")
+
+
+ROW_PAUSE_SQL = """
+WITH ctl AS (
+  SELECT event_id AS seq, user_id % 4 AS instance, CASE WHEN event_id % 3 = 0 THEN 'Paused' ELSE 'Running' END AS status
+  FROM events WHERE event_type = 'error'),
+known AS (
+  SELECT e.event_id, e.user_id % 4 AS instance, coalesce(c.status = 'Paused', false) AS held
+  FROM events e ASOF LEFT JOIN ctl c ON e.user_id % 4 = c.instance AND e.event_id >= c.seq
+  WHERE e.event_type <> 'error'),
+going AS (
+  SELECT k.event_id, k.instance, k.held, CASE WHEN k.held THEN r.seq ELSE k.event_id END AS release
+  FROM known k ASOF LEFT JOIN (SELECT * FROM ctl WHERE status = 'Running') r
+    ON k.instance = r.instance AND k.event_id <= r.seq)
+SELECT *, row_number() OVER (ORDER BY release, event_id) AS position FROM going WHERE release IS NOT NULL
+"""
+
+
+def pausable(spark, sf):
+    """Events for four instances; errors are control rows that pause or resume their instance."""
+    ev = table(spark, sf, "events")
+    status = F.when(F.col("event_id") % 3 == 0, PAUSED).otherwise(RUNNING)
+    return ev.select(
+        "event_id", (F.col("user_id") % 4).alias("instance"), (F.col("event_type") == "error").alias("is_control"),
+        F.when(F.col("event_type") == "error", status).alias("status"),
+    )
+
+
+@query("row_pause", ROW_PAUSE_SQL)
+def _(spark, sf):
+    """Rows of paused instances come out where the instance goes on, ahead of later rows."""
+    ev = pausable(spark, sf)
+    changes = ev.where("is_control").select("instance", "event_id", "status")
+    data = ev.where("not is_control").select("event_id", "instance")
+    return pauses.resequenced(pauses.hold_rows(data, changes, ["instance"], "event_id"), "event_id")
+
+
+@query("seeded_values")
+def _(spark, sf):
+    """A reserve price and a category for every index, the same whenever they are asked for."""
+    idx = indexes(spark, sf)
+    return idx.select("idx", seeded(F.col("idx"), 1, 10_000).alias("reserve"), seeded(F.col("idx"), 2, 10).alias("category"))

@@ -32,7 +32,7 @@ from sluiceway.plans.tables import (
 )
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.streaming import channels, corrections, counting, handover, moves, sinks, state, windows
+from sluiceway.streaming import channels, corrections, counting, handover, moves, pauses, sinks, state, windows
 from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
@@ -542,3 +542,18 @@ def _(spark, sf):
     drain(counts)
     seen = latest_rows(spark, f"{root}/out", "word string, cnt long", ["word"])
     return seen.select(F.col("word").alias("event_type"), F.col("cnt").alias("rows"))
+
+
+@query("stream_row_pause", batch.ROW_PAUSE_SQL)
+def _(spark, sf):
+    """The same in five micro-batches, so pauses last over several of them."""
+    root = shared_dir(spark, "stream-row-pause")
+    ev = batch.pausable(spark, sf)
+    top = table(spark, sf, "events").agg(F.max("event_id") + 1).scalar()
+    folder = f"{root}/in"
+    for part in range(5):
+        ev.where(F.col("event_id") * 5 >= top * part).where(F.col("event_id") * 5 < top * (part + 1)).write.mode("append").parquet(folder)
+        stream = spark.readStream.schema(ev.schema).parquet(folder)
+        drain(pauses.pausable_stream(stream, ["instance"], "event_id", "is_control", "status", root, f"{root}/checkpoint"))
+    out = all_batches(spark, f"{root}/out", "event_id long, instance long, held boolean, release long, position long")
+    return out.select("event_id", "instance", "held", "release", "position")

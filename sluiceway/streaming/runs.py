@@ -9,10 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
+from sluiceway.model import PAUSED, RUNNING
 from sluiceway.session import written_removed
 
-RUNNING, PAUSED = "Running", "Paused"
-
 
 def drain(writer: DataStreamWriter) -> StreamingQuery:
     """Process all input that is there now, then stop."""
