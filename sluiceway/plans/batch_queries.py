@@ -239,7 +239,7 @@ def _(spark, sf):
 
 
 ADMITTED_SQL = f"""
-WITH {EVENTS_SQL},
+WITH ev AS (SELECT event_id, event_type, epoch_us(ts) // 1000 AS ms FROM events),
 q AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ms, event_id) - 1 AS i FROM ev),
 t AS (SELECT *, i % 2 AS lane, i // 2 AS turn FROM q),
 s AS (

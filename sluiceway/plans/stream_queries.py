@@ -32,7 +32,7 @@ from sluiceway.plans.tables import (
 )
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.streaming import channels, corrections, counting, handover, moves, pauses, sinks, state, windows
+from sluiceway.streaming import channels, corrections, counting, handover, moves, pauses, sinks, state, user_state, windows
 from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
@@ -557,3 +557,85 @@ def _(spark, sf):
         drain(pauses.pausable_stream(stream, ["instance"], "event_id", "is_control", "status", root, f"{root}/checkpoint"))
     out = all_batches(spark, f"{root}/out", "event_id long, instance long, held boolean, release long, position long")
     return out.select("event_id", "instance", "held", "release", "position")
+
+
+class CountPerUser(user_state.StateFunction):
+    """A map from user to the number of events so far."""
+
+    maps = {"seen": ("long", "long")}
+    output = "event_id long, user_id long, cnt long"
+
+    def process(self, key, rows, state):
+        users = rows.groupby("user_id")
+        before = {user: state.get_entry("seen", user, 0) for user in users.groups}
+        for user, n in users.size().items():
+            state.put_entry("seen", user, before[user] + int(n))
+        cnt = users.cumcount() + 1 + rows["user_id"].map(before)
+        return rows[["event_id", "user_id"]].assign(cnt=cnt)
+
+
+class BundlesOfFour(user_state.StateFunction):
+    """A list of ids that wait until there are four, and the number of bundles sent so far."""
+
+    values = {"sent": "long"}
+    lists = {"waiting": "long"}
+    output = "bundle long, first_id long, last_id long, n long"
+
+    def process(self, key, rows, state):
+        import pandas as pd
+
+        sent, ids = state.get("sent", 0), state.items("waiting") + rows["event_id"].tolist()
+        full = len(ids) // 4
+        state.put("sent", sent + full)
+        state.put_items("waiting", ids[4 * full :])
+        first, last = ids[: 4 * full : 4], ids[3 : 4 * full : 4]
+        return pd.DataFrame({"bundle": range(sent, sent + full), "first_id": first, "last_id": last, "n": 4}, dtype="int64")
+
+
+STATE_BLOCK = 2048
+
+
+def _run_function(spark, sf, function: user_state.StateFunction, root: str) -> DataFrame:
+    """The function over all events, which come in two parts; what it gave."""
+    ev = table(spark, sf, "events").select("event_id", "event_type", "user_id")
+
+    def step(stream: DataFrame) -> None:
+        out = user_state.with_state(stream, "event_type", "event_id", function, STATE_BLOCK)
+        drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
+
+    in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
+    return spark.read.schema(f"event_type string, block long, {function.output}").parquet(f"{root}/out")
+
+
+@query(
+    "user_map_state",
+    """SELECT event_id, event_type, user_id, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS cnt
+    FROM events""",
+)
+def _(spark, sf):
+    """Events of a type and user so far: a map per type and block, blocks added up from the map state."""
+    root = shared_dir(spark, "user-map-state")
+    out = _run_function(spark, sf, CountPerUser(), root)
+    seen = user_state.kept_state(spark, f"{root}/checkpoint", "seen")
+    sums = seen.withColumnsRenamed({"map_key": "user_id", "value": "cnt"})
+    all_of_it = user_state.across_blocks(out, sums, ["event_type", "user_id"], "cnt")
+    return all_of_it.select("event_id", "event_type", "user_id", "cnt")
+
+
+@query(
+    "user_list_state",
+    f"""WITH r AS (
+      SELECT event_type, event_id // {STATE_BLOCK} AS block, event_id,
+        row_number() OVER (PARTITION BY event_type, event_id // {STATE_BLOCK} ORDER BY event_id) - 1 AS i
+      FROM events)
+    SELECT event_type, block, i // 4 AS bundle, min(event_id) AS first_id, max(event_id) AS last_id, count(*) AS n
+    FROM r GROUP BY event_type, block, i // 4""",
+)
+def _(spark, sf):
+    """Events of a type in bundles of four per block; those that still wait come from the list state."""
+    root = shared_dir(spark, "user-list-state")
+    out = _run_function(spark, sf, BundlesOfFour(), root)
+    waiting = user_state.kept_state(spark, f"{root}/checkpoint", "waiting").groupBy("event_type", "block")
+    waiting = waiting.agg(F.min("value").alias("first_id"), F.max("value").alias("last_id"), F.count("value").alias("n"))
+    sent = user_state.kept_state(spark, f"{root}/checkpoint", "sent").withColumnRenamed("value", "bundle")
+    return out.unionByName(waiting.join(sent, ["event_type", "block"]))
