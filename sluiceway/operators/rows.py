@@ -126,9 +126,12 @@ def in_channel_order(df: DataFrame, channel: str, seq: str) -> DataFrame:
     return df.repartitionByRange(channel, seq).sortWithinPartitions(channel, seq)
 
 
-def debug_tap(df: DataFrame, name: str) -> DataFrame:
-    """Count the rows that pass, without changing them; read it from the query's progress."""
-    return df.observe(name, F.count(F.lit(1)).alias("rows"))
+def debug_tap(df: DataFrame, name: str, **metrics: Column) -> DataFrame:
+    """Count the rows that pass, without changing them, and take further aggregates if any are given.
+
+    They are read from the query's progress, or from the table that ``streaming.metrics`` keeps.
+    """
+    return df.observe(name, F.count(F.lit(1)).alias("rows"), *[c.alias(n) for n, c in metrics.items()])
 
 
 def tap_rows(

@@ -10,14 +10,14 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sluiceway.functions.time import epoch_ms
 from sluiceway.operators.channels import hash_channel
 from sluiceway.operators.control import topology_view
 from sluiceway.operators.counting import running_count
-from sluiceway.operators.rows import tokenize, union_tagged
+from sluiceway.operators.rows import debug_tap, tokenize, union_tagged
 from sluiceway.operators.routing import route_by_table
 from sluiceway.plans import batch_queries as batch
 from sluiceway.plans.registry import query
@@ -32,7 +32,7 @@ from sluiceway.plans.tables import (
 )
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
-from sluiceway.streaming import channels, corrections, counting, handover, moves, pauses, sinks, state, user_state, windows
+from sluiceway.streaming import channels, corrections, counting, handover, metrics, moves, pauses, shared_count, sinks, state, user_state, windows
 from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
@@ -639,3 +639,49 @@ def _(spark, sf):
     waiting = waiting.agg(F.min("value").alias("first_id"), F.max("value").alias("last_id"), F.count("value").alias("n"))
     sent = user_state.kept_state(spark, f"{root}/checkpoint", "sent").withColumnRenamed("value", "bundle")
     return out.unionByName(waiting.join(sent, ["event_type", "block"]))
+
+
+@query("shared_count_live", batch.SHARED_COUNT_SQL)
+def _(spark, sf):
+    """Two jobs count into the same counters at the same time; both are stopped once and go on."""
+    root = shared_dir(spark, "shared-count")
+    docs = _docs(spark, sf)
+    first = F.col("doc_id") < table(spark, sf, "documents").agg(F.expr("(max(doc_id) + 1) div 2")).scalar()
+    jobs = ["even", "odd"]
+    for part in (first, ~first):
+        for number, job in enumerate(jobs):
+            docs.where(part & (F.col("doc_id") % 2 == number)).write.mode("append").parquet(f"{root}/in-{job}")
+        running = []
+        for job in jobs:
+            lines = spark.readStream.schema(docs.schema).parquet(f"{root}/in-{job}")
+            counts = shared_count.shared_count_stream(tokenize(lines, "text"), f"{root}/counters", job, f"{root}/checkpoint-{job}")
+            running.append(counts.trigger(availableNow=True).start())
+        for started in running:
+            started.awaitTermination()
+    return shared_count.shared_totals(spark, f"{root}/counters", jobs)
+
+
+@query(
+    "stream_metrics",
+    """WITH t AS (
+      SELECT *, event_id * 5 // (SELECT max(event_id) + 1 FROM events) AS batch FROM events),
+    m AS (
+      SELECT batch, count(*) AS event_counter, count(*) FILTER (event_type = 'error') AS errors, max(event_id) AS newest
+      FROM t GROUP BY batch)
+    SELECT *, (sum(event_counter) OVER (ORDER BY batch))::BIGINT AS so_far FROM m""",
+)
+def _(spark, sf):
+    """What a tap before a sink saw in each of five micro-batches, read back from the table of metrics."""
+    root = shared_dir(spark, "stream-metrics")
+    ev = table(spark, sf, "events").select("event_id", "event_type")
+    top = table(spark, sf, "events").agg(F.max("event_id") + 1).scalar()
+    with metrics.recorded(spark, f"{root}/metrics"):
+        for part in range(5):
+            ev.where(F.col("event_id") * 5 >= top * part).where(F.col("event_id") * 5 < top * (part + 1)).write.mode("append").parquet(f"{root}/in")
+            stream = spark.readStream.schema(ev.schema).parquet(f"{root}/in")
+            tapped = debug_tap(stream, "sink", errors=F.count_if(F.col("event_type") == "error"), newest=F.max("event_id"))
+            drain(sinks.discard_sink(tapped, f"{root}/checkpoint"))
+    seen = metrics.recorded_metrics(spark, f"{root}/metrics").where("name = 'sink'").groupBy("batch")
+    seen = seen.pivot("metric", ["rows", "errors", "newest"]).agg(F.first("value")).withColumnRenamed("rows", "event_counter")
+    so_far = F.sum("event_counter").over(Window.orderBy("batch"))
+    return seen.withColumn("so_far", so_far)
