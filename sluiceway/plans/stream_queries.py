@@ -25,6 +25,7 @@ from sluiceway.plans.tables import (
     HOUR_MS,
     WORDS_SQL,
     control_log,
+    earlier_half,
     events,
     halfway,
     market,
@@ -160,7 +161,7 @@ def _(spark, sf):
             )
         )
 
-    in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
+    in_two_parts(spark, ev, earlier_half(spark, sf), step)
     out = all_batches(
         spark, f"{root}/out", "event_id long, ch int, ms long, win long, is_closer boolean"
     )
@@ -189,7 +190,7 @@ def _(spark, sf):
     in_two_parts(
         spark,
         market(spark, sf),
-        F.col("event_id") < halfway(spark, sf),
+        earlier_half(spark, sf),
         lambda stream: drain(build(stream, f"{root}/checkpoint")),
     )
     return all_batches(spark, f"{root}/out", _JOINED).select(
@@ -476,7 +477,7 @@ def _(spark, sf):
     """The anchored join moves to a second query with its open windows."""
     root = shared_dir(spark, "handover-join")
     rows = market(spark, sf)
-    first = F.col("event_id") < halfway(spark, sf)
+    first = earlier_half(spark, sf)
     channels.append_to_channels(rows.where(first), f"{root}/channel", epoch=0)
     channels.append_to_channels(rows.where(~first), f"{root}/channel", epoch=1)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from sluiceway.operators import anchored
 from sluiceway.operators.joins import key_equality, window_join, window_join_anchored
 from sluiceway.operators.window_maps import UNSET, block_map, replay
+from sluiceway.plans import QUERIES
 
 # seq, ms, kind, key, reserve: the golden rows for a width of one second
 ROWS = [
@@ -169,3 +170,14 @@ def test_maps_stay_bounded(width, late):
         opened += int(more[0])
     exits, more = total(np.array([UNSET]))
     assert int(exits[0]) == int(state[0]) and int(more[0]) == opened
+
+
+@pytest.mark.parametrize("name", ["stream_window_join_anchored", "handover_window_join", "stream_anchored_window"])
+def test_parts_follow_time_where_ids_do_not(spark, small, tmp_path, name):
+    """Every event twice at the same time, the second time with ids after all others."""
+    ev = spark.read.parquet(f"{small}/events.parquet")
+    again = ev.withColumns({"event_id": F.col("event_id") + 1000, "user_id": F.col("user_id") + 100})
+    ev.unionByName(again).write.parquet(f"{tmp_path}/events.parquet")
+    base = "anchored_window" if name == "stream_anchored_window" else "window_join_anchored"
+    got, want = (sorted(map(tuple, QUERIES[n](spark, str(tmp_path)).collect())) for n in (name, base))
+    assert got == want and got
