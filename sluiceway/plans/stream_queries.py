@@ -568,10 +568,10 @@ class CountPerUser(user_state.StateFunction):
 
     def process(self, key, rows, state):
         users = rows.groupby("user_id")
-        before = {user: state.get_entry("seen", user, 0) for user in users.groups}
+        before = state.entries("seen")
         for user, n in users.size().items():
-            state.put_entry("seen", user, before[user] + int(n))
-        cnt = users.cumcount() + 1 + rows["user_id"].map(before)
+            state.put_entry("seen", user, before.get(user, 0) + int(n))
+        cnt = users.cumcount() + 1 + (rows["user_id"].map(before).fillna(0).astype("int64") if before else 0)
         return rows[["event_id", "user_id"]].assign(cnt=cnt)
 
 
@@ -596,12 +596,20 @@ class BundlesOfFour(user_state.StateFunction):
 STATE_BLOCK = 2048
 
 
-def _run_function(spark, sf, function: user_state.StateFunction, root: str) -> DataFrame:
+def state_block(rows: int) -> int:
+    """Places per block for state that is added up over blocks: more on a larger table, up to a bound.
+
+    A key that comes often has one entry per block, so fewer blocks keep less state.
+    """
+    return min(user_state.BLOCK_ROWS, max(STATE_BLOCK, rows // 16))
+
+
+def _run_function(spark, sf, function: user_state.StateFunction, root: str, block: int = STATE_BLOCK) -> DataFrame:
     """The function over all events, which come in two parts; what it gave."""
     ev = table(spark, sf, "events").select("event_id", "event_type", "user_id")
 
     def step(stream: DataFrame) -> None:
-        out = user_state.with_state(stream, "event_type", "event_id", function, STATE_BLOCK)
+        out = user_state.with_state(stream, "event_type", "event_id", function, block)
         drain(writer(out, f"{root}/checkpoint").format("parquet").option("path", f"{root}/out"))
 
     in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
@@ -616,7 +624,7 @@ def _run_function(spark, sf, function: user_state.StateFunction, root: str) -> D
 def _(spark, sf):
     """Events of a type and user so far: a map per type and block, blocks added up from the map state."""
     root = shared_dir(spark, "user-map-state")
-    out = _run_function(spark, sf, CountPerUser(), root)
+    out = _run_function(spark, sf, CountPerUser(), root, state_block(table(spark, sf, "events").count()))
     seen = user_state.kept_state(spark, f"{root}/checkpoint", "seen")
     sums = seen.withColumnsRenamed({"map_key": "user_id", "value": "cnt"})
     all_of_it = user_state.across_blocks(out, sums, ["event_type", "user_id"], "cnt")

@@ -50,6 +50,11 @@ class State:
         kept = self._maps[name]
         return kept.getValue((key,))[0] if kept.containsKey((key,)) else default
 
+    def entries(self, name: str) -> dict:
+        """The whole map, in one call and not one for every key; as large as its key and block have made it."""
+        kept = self._maps[name]
+        return {key[0]: value[0] for key, value in kept.iterator()} if kept.exists() else {}
+
     def put_entry(self, name: str, key: Any, value: Any) -> None:
         self._maps[name].updateValue((key,), (value,))
 

@@ -102,3 +102,24 @@ def test_blocks_add_up(spark):
     )
     assert got.columns == ["n", "key", "block", "cnt"]
     assert {r.n: r.cnt for r in got.collect()} == want
+
+
+def test_counts_ask_for_their_map_once():
+    """One call for the whole map and one for each entry that changes, no look-up per key."""
+    from sluiceway.plans.stream_queries import CountPerUser
+
+    class Kept:
+        def __init__(self):
+            self.map, self.calls = {7: 3}, 0
+
+        def entries(self, name):
+            self.calls += 1
+            return dict(self.map)
+
+        def put_entry(self, name, key, value):
+            self.calls += 1
+            self.map[key] = value
+
+    kept, rows = Kept(), pd.DataFrame({"event_id": [1, 2, 3, 4], "user_id": [7, 8, 7, 9]})
+    out = CountPerUser().process("x", rows, kept)
+    assert out["cnt"].tolist() == [4, 1, 5, 1] and kept.map == {7: 5, 8: 1, 9: 1} and kept.calls == 4
