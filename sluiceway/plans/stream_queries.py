@@ -34,7 +34,7 @@ from sluiceway.plans.tables import (
 from sluiceway.session import shared_dir, written_removed
 from sluiceway.sources.channel import channel_read, channel_stream
 from sluiceway.streaming import channels, corrections, counting, handover, metrics, moves, pauses, shared_count, sinks, state, user_state, windows
-from sluiceway.streaming.channel_log import LogReader, channel_log_write
+from sluiceway.streaming.channel_log import BLOCK_ROWS, LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
 from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
@@ -318,6 +318,15 @@ def _(spark, sf):
     return channel_read(spark, {"in": f"{root}/channel"}, [1]).select("event_id", "stream")
 
 
+def log_sizes(rows: int) -> tuple[int, int]:
+    """Rows per block and per micro-batch for a log of so many rows.
+
+    Small logs get small blocks and still several micro-batches. Sizes grow with the log up to a
+    bound, as every micro-batch costs a fixed number of jobs besides what its rows cost.
+    """
+    return min(BLOCK_ROWS, max(2_000, rows // 16)), min(10 * BLOCK_ROWS, max(4_000, rows // 4))
+
+
 @query(
     "channel_log",
     """SELECT event_id, (user_id % 2)::INTEGER AS ch, event_type,
@@ -329,8 +338,10 @@ def _(spark, sf):
     root = shared_dir(spark, "channel-log")
     ev = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 2).cast("int").alias("ch"))
 
+    block_rows, budget = log_sizes(ev.count())
+
     def step(stream: DataFrame) -> None:
-        drain(channel_log_write(stream, f"{root}/log", f"{root}/checkpoint", ["event_id"], block_rows=2_000))
+        drain(channel_log_write(stream, f"{root}/log", f"{root}/checkpoint", ["event_id"], block_rows=block_rows))
 
     in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
     kept = ChangedRows(f"{root}/counts", ["word"], "word string, cnt long")
@@ -344,7 +355,7 @@ def _(spark, sf):
             kept.put(out.groupBy("word").agg(F.max("cnt").alias("cnt")), number)
 
     schema = "event_id long, event_type string, ch int"
-    LogReader(spark, f"{root}/log", schema, f"{root}/progress", budget=4_000).drain(count)
+    LogReader(spark, f"{root}/log", schema, f"{root}/progress", budget=budget).drain(count)
     out = all_batches(spark, f"{root}/out", f"{schema}, position long, cnt long")
     return out.select("event_id", "ch", "event_type", "position", "cnt")
 

@@ -20,6 +20,7 @@ from sluiceway.streaming.runs import with_batches
 from sluiceway.streaming.tables import all_batches, batch_table, keep_from, last_batch, put_batch
 
 BLOCK_ROWS = 100_000
+MICRO_BATCH_BLOCKS = 1_000  # a reader's micro-batch names its blocks' folders one by one
 MANIFEST = "ch int, block long, first long, last long, nth long, until long"
 
 
@@ -83,24 +84,23 @@ def channel_log_read(spark: SparkSession, path: str, schema: str, blocks: DataFr
     """Rows of the log, of all blocks or of those in ``blocks`` (rows of the manifest), with ``position``."""
     full = f"{schema}, position long, block long"
     reader = spark.read.schema(f"{full}, batch int, _ch int, _block long").option("basePath", f"{path}/rows")
-    rows = reader.parquet(f"{path}/rows/batch=*")
-    done = F.col("batch") <= last_batch(spark, f"{path}/manifest")
-    rows = rows.where(done)
-    if blocks is not None:
-        wanted = blocks.select(F.col("ch").alias("_c"), F.col("block").alias("_b"), F.col("batch").alias("_n"))
-        on = (F.col("_ch") == F.col("_c")) & (F.col("_block") == F.col("_b")) & (F.col("batch") == F.col("_n"))
-        rows = rows.join(wanted, on, "left_semi")
+    if blocks is None:
+        rows = reader.parquet(f"{path}/rows/batch=*").where(F.col("batch") <= last_batch(spark, f"{path}/manifest"))
+    else:
+        # Their folders only: listing the whole log for every micro-batch would grow with its square.
+        folders = [f"{path}/rows/batch={b.batch}/_ch={b.ch}/_block={b.block}" for b in blocks.select("batch", "ch", "block").collect()]
+        rows = reader.parquet(*folders) if folders else spark.createDataFrame([], f"{full}, batch int, _ch int, _block long")
     return rows.drop("batch", "_ch", "_block")
 
 
 def take_blocks(spark: SparkSession, path: str, after: int, budget: int) -> tuple[DataFrame | None, int]:
     """The blocks after the first ``after`` of the log that hold up to ``budget`` rows, at least one
-    block, and the number of the last of them."""
+    block and ``MICRO_BATCH_BLOCKS`` at most, and the number of the last of them."""
     if last_batch(spark, f"{path}/manifest") < 0:
         return None, after
     manifest = all_batches(spark, f"{path}/manifest", f"{MANIFEST}, batch int")
     done = manifest.where(F.col("nth") == after).agg(F.coalesce(F.max("until"), F.lit(0))).first()[0]
-    left = manifest.where(F.col("nth") > after)
+    left = manifest.where((F.col("nth") > after) & (F.col("nth") <= after + MICRO_BATCH_BLOCKS))
     end = left.where((F.col("until") - F.lit(done) <= budget) | (F.col("nth") == after + 1)).agg(F.max("nth")).first()[0]
     if end is None:
         return None, after
