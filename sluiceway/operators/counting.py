@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from sluiceway.functions.numbers import floored
 from sluiceway.functions.time import bucket_start
-from sluiceway.operators.lookup import HOT_ROWS, hot_keys, lookup, same_keys
+from sluiceway.operators.lookup import HOT_ROWS, same_keys
 from sluiceway.operators.ordinal import running_ordinal
 from sluiceway.operators.rows import merge_inputs
 
@@ -23,26 +23,13 @@ def running_count(
     word: str = "word",
     start: DataFrame | None = None,
     hot_rows: int = HOT_ROWS,
-    totals: DataFrame | None = None,
 ) -> DataFrame:
     """For every row the count of its word so far, in the given order.
 
-    ``start`` (``word, cnt``) continues from counts reached before; ``totals`` are the words' own
-    counts, if they are known. Frequent words are numbered
-    in blocks and look their start up in groups, so no task gets all rows of a word. A null word
-    is counted like any other.
+    ``start`` (``word, cnt``) continues from counts reached before. No task gets all rows of a
+    frequent word. A null word is counted like any other.
     """
-    counted = running_ordinal(words, [word], order, "cnt", hot_rows)
-    if start is None:
-        return counted
-    start = start.select(word, F.col("cnt").alias("_start"))
-    totals = word_count(words, word) if totals is None else totals
-    full = same_keys(totals, start, [word], "left").select(
-        word, F.coalesce("_start", F.lit(0).cast("long")).alias("_start")
-    )
-    hot = hot_keys(totals, [word], "cnt", hot_rows)
-    joined = lookup(counted, full, [word], hot, hot_rows)
-    return joined.withColumn("cnt", F.col("cnt") + F.col("_start")).select(*counted.columns)
+    return running_ordinal(words, [word], order, "cnt", hot_rows, start)
 
 
 def shared_count(jobs: list[DataFrame], word: str = "word") -> DataFrame:

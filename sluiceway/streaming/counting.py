@@ -40,20 +40,17 @@ def running_count_stream(
     """
 
     def handle(batch: DataFrame, number: int) -> None:
-        batch = batch.persist()
-        try:
-            kept = _state(batch.schema["word"].dataType.simpleString(), path)
+        spark = batch.sparkSession
+        kept, before = _state(batch.schema["word"].dataType.simpleString(), path), None
+        if number > 0 or start is not None:
             counts = written(word_count(batch), "batch-counts")
-            before = kept.at(batch.sparkSession, number - 1, near=counts)
+            before = kept.at(spark, number - 1, near=counts)
             if start is not None:
                 before = add_missing(before, start)
             before = written(same_keys(counts.select("word"), before, ["word"]), "counts-before")
-            put_batch(running_count(batch, order, start=before, hot_rows=hot_rows, totals=counts), f"{path}/out", number)
-            known = before.withColumnRenamed("cnt", "_before")
-            now = F.col("cnt") + F.coalesce("_before", F.lit(0))
-            kept.put(same_keys(counts, known, ["word"], "left").select("word", now.alias("cnt")), number)
-        finally:
-            batch.unpersist()
+        put_batch(running_count(batch, order, start=before, hot_rows=hot_rows), f"{path}/out", number)
+        out = spark.read.schema(kept.schema).parquet(f"{path}/out/batch={number}")
+        kept.put(out.groupBy("word").agg(F.max("cnt").alias("cnt")), number)
 
     return with_batches(words, checkpoint, handle)
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sluiceway.operators.control import previous_in_channel
@@ -60,6 +61,35 @@ def test_null_keys_are_counted(spark, hot_rows):
     assert {r.id: r.previous for r in before if r.word is None} == dict(zip(nulls, [None, *nulls]))
 
 
+def test_rows_are_shuffled_once_however_many_keys(spark):
+    """The table that rows look their earlier ranges up in has one row per range, not one per key."""
+    df = spark.range(30_000).select(F.col("id").cast("string").alias("word"), "id")
+    start = df.where("id % 2 = 0").select("word", F.lit(5).alias("cnt"))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "65536")
+    try:
+        for got in (running_count(df, ["id"]), running_count(df, ["id"], start=start)):
+            assert "SortMergeJoin" not in got._jdf.queryExecution().toString()
+        assert {(r.id % 2, r.cnt) for r in got.collect()} == {(0, 6), (1, 1)}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+@pytest.mark.parametrize("hot_rows", [10_000_000, 9])
+def test_ordinal_by_keys_of_all_kinds(spark, hot_rows):
+    """Null, NaN and both zeros are keys as they are for Spark, lists too, and over ranges and batches."""
+    pick = "element_at(array(null, double('nan'), 0.0d, -0.0d, 1.5d), cast(id % 5 + 1 as int))"
+    df = spark.range(200).selectExpr(f"{pick} as x", "array(id % 2, null) as y", "id")
+    want = df.withColumn("n", F.row_number().over(Window.partitionBy("x", "y").orderBy("id")))
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = running_ordinal(df, ["x", "y"], ["id"], "n", hot_rows).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert {r.id: r.n for r in got} == {r.id: r.n for r in want.collect()} and len(got) == 200
+
+
 def test_event_counters_in_blocks(spark):
     df = spark.range(500).select((F.col("id") % 2).alias("s"), (F.col("id") * 700).alias("ms"))
     got = {(r.s, r.second): r.event_counter for r in event_counters(df, "s", "ms", block_ms=4000).collect()}
