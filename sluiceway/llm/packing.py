@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import lru_cache
+from string import punctuation
 
 import numpy as np
 import pandas as pd
@@ -46,57 +47,69 @@ class ChunkIds:
     """Ids of chunks without white space, as bytes; one per Python worker, kept between tasks.
 
     The tokenizer splits letters from what follows them, so that a word and the full stop or
-    comma after it are looked up apart, and words of plain letters are encoded many at a time:
-    each of them ends with its only end-of-word token.
+    other ASCII marks after it are looked up apart. Words of plain letters are encoded in lower
+    case and many at a time, without the normalizer and the splitting pattern, which leave such
+    words as they are: each of them ends with its only end-of-word token.
     """
 
     def __init__(self, path: str) -> None:
         # Spark runs one task per core already.
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # The same model for words in lower case; the byte letter of an ASCII letter is itself.
+        split = pre_tokenizers.WhitespaceSplit()
+        letters = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.ascii, self.accented = Tokenizer(self.tokenizer.model), Tokenizer(self.tokenizer.model)
+        self.ascii.pre_tokenizer = split
+        self.accented.pre_tokenizer = pre_tokenizers.Sequence([split, letters])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}  # plain letters
+        self.words: dict[str, bytes] = {}  # plain letters in lower case
         self.tails: dict[str, bytes] = {"": b""}
+        self.long: list[str] = []  # chunks in ``known`` that go before the next ones come
 
     def coded(self, parts: list[list[str]]) -> dict[str, bytes]:
-        """The ids of all chunks of some texts; those that are not too long are remembered."""
+        """The ids of all chunks of some texts, until the next call; those that are not too long are remembered."""
         known, words, tails = self.known, self.words, self.tails
+        self.forget_long()
+        remember(known, CACHED)
         remember(words, CACHED)
-        wanted = set().union(*parts)
-        found = {c: known[c] for c in wanted if c in known}
-        new = wanted.difference(found)
-        cut, others, cores = [], [], set()
-        for c in new:
-            core = c.rstrip(".,")
-            if core in words:
-                cut.append((c, core))
-            elif len(c) <= LONGEST and PLAIN.fullmatch(core):
-                cut.append((c, core))
-                cores.add(core)
+        cut, others, new = [], [], set()
+        for c in set().union(*parts).difference(known):
+            core = c.rstrip(punctuation)
+            if len(c) <= LONGEST and (core.isalpha() if core.isascii() else PLAIN.fullmatch(core)):
+                low = core.lower()
+                cut.append((c, low, c[len(core) :]))
+                if low not in words:
+                    new.add(low)
             else:
                 others.append(c)
-        if cores:
-            self._learn_words(list(cores), found)
-        ends = {c[len(core) :] for c, core in cut}.difference(tails)
-        if ends or others:
-            own: dict[str, bytes] = {}
-            self._encode([*ends, *others], own)
-            tails.update((t, own[t]) for t in ends if len(t) <= 3)
-            found.update(own)
-        for c, core in cut:
-            tail = c[len(core) :]
-            found[c] = (words[core] if core in words else found[core]) + (tails[tail] if tail in tails else found[tail])
-        remember(known, CACHED)
-        known.update((c, found[c]) for c in new if len(c) <= LONGEST)
-        return found
+        self._learn_words([w for w in new if w.isascii()], self.ascii)
+        self._learn_words([w for w in new if not w.isascii()], self.accented)
+        self._encode(others, known)
+        self.long = [c for c in others if len(c) > LONGEST]
+        ends = {tail for _, _, tail in cut}
+        own = {t: tails[t] for t in ends if t in tails}
+        self._encode([t for t in ends if t not in tails], own)
+        tails.update((t, own[t]) for t in ends if len(t) <= 3)
+        for c, low, tail in cut:
+            known[c] = words[low] + own[tail] if tail else words[low]
+        return known
+
+    def forget_long(self) -> None:
+        for c in self.long:
+            del self.known[c]
+        self.long = []
 
     def each(self, texts: pa.Array) -> Iterator[tuple[int, dict[str, bytes], list[str]]]:
-        """(row, ids of chunks, chunks of the text), coding the chunks of many texts at a time."""
+        """(row, ids of chunks, chunks of the text), coding the chunks of many texts at a time.
+
+        The ids of a row are to be read before the next row is taken.
+        """
         group: list[list[str]] = []
         held, first = 0, 0
         for row in range(len(texts)):
@@ -107,15 +120,16 @@ class ChunkIds:
                 for at, parts in enumerate(group):
                     yield first + at, found, parts
                 group, held, first = [], 0, row + 1
+        self.forget_long()
 
-    def _learn_words(self, words: list[str], found: dict[str, bytes]) -> None:
+    def _learn_words(self, words: list[str], tokenizer) -> None:
         for at in range(0, len(words), 10_000):
             some = words[at : at + 10_000]
-            (coded,) = self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
+            (coded,) = tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)
             ids = np.array(coded.ids, "<u4")
             stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) != len(some):
-                self._encode(some, found)
+                self._encode(some, self.words)
                 continue
             raw, begin = ids.tobytes(), 0
             for word, stop in zip(some, (4 * stops).tolist()):
@@ -123,8 +137,9 @@ class ChunkIds:
                 begin = stop
 
     def _encode(self, some: list[str], found: dict[str, bytes]) -> None:
-        for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-            found[c] = np.array(e.ids, "<u4").tobytes()
+        if some:
+            for c, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                found[c] = np.array(e.ids, "<u4").tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -159,7 +174,7 @@ def token_pieces(
         for batch in batches:
             columns: list[list] = [[] for _ in schema]
             for row, known, parts in cache.each(batch.column(1)):
-                ids = b"".join([known[c] for c in parts]) + end
+                ids = b"".join(map(known.__getitem__, parts)) + end
                 step = 4 * capacity
                 for piece, at in enumerate(range(0, len(ids), step)):
                     cut = ids[at : at + step]

@@ -56,3 +56,21 @@ def test_long_chunks_are_not_remembered():
     assert not cache.known and not model.chunks
     assert max(map(len, cache.words), default=0) <= bpe.LONGEST and max(map(len, model.parts), default=0) <= bpe.LONGEST
     assert kept < 20 << 20
+
+
+def test_marks_behind_words_are_coded_apart(monkeypatch):
+    """Whatever ASCII marks follow, new words go to the tokenizer together and in lower case once."""
+    marks = ["", "'", "''", "***", ",$$$", "!!", ".%%%", '"', "_", "<|", "|>", ")]", "'.", "\\", "-", "#" * 9]
+    cores = ["Dog", "dog", "DOG", "Übel", "übel", "naïveté", "Łódź", "ǃkung", "i", "İx", "ŉx", "ǆep", "café", "ﬁn", "x1", "it's", "日"]
+    texts = [" ".join(c + m for c in cores) for m in marks] + ["dog's the,inlg *** 's ' <|endoftext|>. dog<|endoftext|> <|startoftext|>***"]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    cache = packing.ChunkIds(TOKENIZER)
+    for _ in range(2):
+        assert ids_of(cache, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert cache.words["dog"] and "Dog" not in cache.words
+    single: list[str] = []
+    encode = cache._encode
+    monkeypatch.setattr(cache, "_encode", lambda some, found: (single.extend(some), encode(some, found)))
+    fresh = [a + b + c for a in "abcdefgh" for b in "stuvwé" for c in "klmnopqrxyz"]
+    ids_of(cache, [" ".join(w + m for w in fresh for m in ("***", "###", ",$$$", "!!"))])
+    assert set(single) <= {"***", "###", ",$$$", "!!"}
