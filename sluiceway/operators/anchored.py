@@ -327,15 +327,21 @@ def place_rows(
     """Window and closer flag of each row, given the edges of the windows.
 
     The bucket table has one row per key and a known size: Spark broadcasts it when it is small,
-    and otherwise shuffles and lets adaptive execution split a crowded bucket's rows.
+    and otherwise shuffles and lets adaptive execution split a crowded bucket's rows. Of rows that
+    share time and tie with a closer one closes, the least by all columns that have an order; only
+    these rows are brought together.
     """
     buckets = _edges_by_bucket(edges, carry, width_ms)
     keyed = df.withColumn("_ch", F.col(channel).cast("int")).withColumn(
         "_bucket", bucket_start(F.col(ms), width_ms)
     )
     placed = keyed.join(buckets, ["_ch", "_bucket"], "left")
-    closes = (F.col("_closer") == F.col(ms)) & (F.col("_closer_tie") == F.col(tie))
-    closes = F.coalesce(closes, F.lit(False))
+    alike = (F.col("_closer") == F.col(ms)) & F.col("_closer_tie").eqNullSafe(F.col(tie))
+    alike = F.coalesce(alike, F.lit(False))
+    same = Window.partitionBy("_ch", "_closer_win").orderBy(*[c for c, t in df.dtypes if "map<" not in t])
+    closers = placed.where(alike).withColumn("_closes", F.row_number().over(same) == 1)
+    placed = placed.where(~alike).withColumn("_closes", F.lit(False)).unionByName(closers)
+    closes = F.col("_closes")
     win = (
         F.when(closes, F.col("_closer_win"))
         .when(F.col("_anchor") <= F.col(ms), F.col("_win"))

@@ -89,6 +89,22 @@ def test_golden_joins(spark):
     assert sorted((r.key, r.reserve) for r in aligned) == [(1, 10), (2, 20), (3, 40)]
 
 
+@pytest.mark.parametrize("numbered", [True, False])
+def test_one_of_equal_rows_closes(spark, numbered):
+    """Rows that repeat, or share their id or have none, are rows of their own."""
+    df = golden(spark).crossJoin(spark.range(3).select()).withColumn("seq", F.expr("seq" if numbered else "cast(null as long)"))
+    rows = sorted([tuple(r) for r in df.collect()], key=lambda r: r[1])
+    numbers, closes, _, _ = walk([r[1] for r in rows], 1000)
+    want = sorted((r[1], w, x) for r, w, x in zip(rows, numbers, closes))
+    out = anchored.anchored_window(df, "ch", "ms", "seq", 1000).collect()
+    assert sorted((r.ms, r.win, r.is_closer) for r in out) == want
+    inside = [(*r, w) for r, w, x in zip(rows, numbers, closes) if not x and w <= max(n for n, c in zip(numbers, closes) if c)]
+    assert anchored_join(df) == sorted(
+        (p[3], a[4]) for p in inside for a in inside
+        if (p[2], a[2]) == ("person", "auction") and p[3] == a[3] and p[-1] == a[-1]
+    )
+
+
 def test_late_row_stays_in_the_window(spark):
     df = spark.createDataFrame(
         [(1, 0, 0), (2, -50, 0), (3, 1000, 0)], "seq long, ms long, ch int"
