@@ -17,6 +17,10 @@ def ids_of(cache, texts):
     return [np.frombuffer(b"".join([found[c] for c in parts]), "<u4").tolist() for _, found, parts in cache.each(pa.array(texts))]
 
 
+def ids_in(cache, texts):
+    return [(row, np.frombuffer(b"".join([found[c] for c in parts]), "<u4").tolist()) for row, found, parts in cache.each(texts)]
+
+
 def words(seed, n):
     rng = random.Random(seed)
     tails = ["", ",", ".", "...", "!", ".x", ";,", ".,.,.,"]
@@ -74,3 +78,37 @@ def test_marks_behind_words_are_coded_apart(monkeypatch):
     fresh = [a + b + c for a in "abcdefgh" for b in "stuvwé" for c in "klmnopqrxyz"]
     ids_of(cache, [" ".join(w + m for w in fresh for m in ("***", "###", ",$$$", "!!"))])
     assert set(single) <= {"***", "###", ",$$$", "!!"}
+
+
+def test_repeated_words_are_looked_up_once():
+    """The work on a group of texts goes by its distinct words, not by all of them."""
+
+    class Counted(dict):
+        asked = 0
+
+        def __getitem__(self, key):
+            Counted.asked += 1
+            return super().__getitem__(key)
+
+    cache = packing.ChunkIds(TOKENIZER)
+    cache.known, cache.words = Counted(cache.known), Counted(cache.words)
+    texts = ["Dog cat, 4x dog " * 2_000, "cat. dog\n" * 2_000]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    assert ids_of(cache, texts) == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    assert Counted.asked < 20
+
+
+def test_groups_and_white_space(monkeypatch):
+    """White space of all kinds, marks that combine across it, every plain letter, nulls, slices and small groups."""
+    spaces = [*"\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x00\x85\xa0\u1680\u2003\u2028\u2029\u202f\u205f\u3000\u200b\ufeff"]
+    texts = ["".join(f"Ab{s}cD,{s}{s}.É" for s in spaces), *(f"{s}Ab.{s}\u0301x{s}" for s in spaces), None, "", " ", "..", " .. "]
+    texts += [f"{c} x{c}{c}y. {c}\u0301 '{c} {c}'s {c}'S" for c in map(chr, range(0x21, 0x250))]
+    texts += ["é" * 50 + ".", "é" * 50, "a" * 100, "a" * 101, "a" * 99 + "!", "!" * 200]
+    tokenizer = Tokenizer.from_file(TOKENIZER)
+    want = [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    for size in (1, 300, 1 << 20):
+        monkeypatch.setattr(packing, "GROUP_BYTES", size, raising=False)
+        cache = packing.ChunkIds(TOKENIZER)
+        for kind in (pa.string(), pa.large_string()):
+            assert ids_in(cache, pa.array(texts, kind)) == list(enumerate(want))
+            assert ids_in(cache, pa.array(texts, kind).slice(3, 40)) == list(enumerate(want[3:43]))
