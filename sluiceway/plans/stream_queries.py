@@ -38,7 +38,7 @@ from sluiceway.streaming.channel_log import LogReader, channel_log_write
 from sluiceway.streaming.control import changelog_state, changelog_stream
 from sluiceway.streaming.routing import route_live_stream
 from sluiceway.streaming.runs import PAUSED, RUNNING, Switchable, drain, with_batches, writer
-from sluiceway.streaming.tables import ChangedRows, all_batches, latest_rows, put_batch
+from sluiceway.streaming.tables import ChangedRows, all_batches, latest_rows, put_batch, put_batches
 
 
 def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -325,7 +325,7 @@ def _(spark, sf):
       row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY event_id) AS cnt FROM events""",
 )
 def _(spark, sf):
-    """Events parked in an ordered log and counted on their way out, a few blocks at a time."""
+    """Events parked in an ordered log and counted on their way out, in micro-batches of a few blocks."""
     root = shared_dir(spark, "channel-log")
     ev = table(spark, sf, "events").select("event_id", "event_type", (F.col("user_id") % 2).cast("int").alias("ch"))
 
@@ -335,16 +335,16 @@ def _(spark, sf):
     in_two_parts(spark, ev, F.col("event_id") < halfway(spark, sf), step)
     kept = ChangedRows(f"{root}/counts", ["word"], "word string, cnt long")
 
-    def count(rows: DataFrame, number: int) -> None:
+    def count(rows: DataFrame, numbers: range) -> None:
         with written_removed(spark):
             words = rows.withColumn("word", F.concat_ws("-", "ch", "event_type"))
-            counted = running_count(words, ["position"], start=kept.at(spark, number - 1))
-            put_batch(counted, f"{root}/out", number)
-            out = spark.read.schema("word string, cnt long").parquet(f"{root}/out/batch={number}")
-            kept.put(out.groupBy("word").agg(F.max("cnt").alias("cnt")), number)
+            counted = running_count(words, ["number", "position"], start=kept.at(spark, numbers[0] - 1))
+            put_batches(counted, f"{root}/out", "number")
+            out = all_batches(spark, f"{root}/out", "word string, cnt long, batch int").where(F.col("batch") >= numbers[0])
+            kept.put(out.groupBy("word").agg(F.max("cnt").alias("cnt")), numbers[-1])
 
     schema = "event_id long, event_type string, ch int"
-    LogReader(spark, f"{root}/log", schema, f"{root}/progress", budget=4_000).drain(count)
+    LogReader(spark, f"{root}/log", schema, f"{root}/progress", budget=4_000).drain(count, together=True)
     out = all_batches(spark, f"{root}/out", f"{schema}, position long, cnt long")
     return out.select("event_id", "ch", "event_type", "position", "cnt")
 

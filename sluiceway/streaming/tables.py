@@ -15,6 +15,12 @@ def put_batch(df: DataFrame, path: str, batch: int) -> None:
     df.write.mode("overwrite").parquet(f"{path}/batch={batch}")
 
 
+def put_batches(df: DataFrame, path: str, number: str) -> None:
+    """Rows of many batches, each to the folder of its ``number``; other batches stay."""
+    rows = df.withColumnRenamed(number, "batch").repartition("batch")
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+
+
 def all_batches(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     reader = spark.read.schema(schema).option("basePath", path)
     return reader.parquet(f"{path}/batch=*")
@@ -25,14 +31,18 @@ def batch_table(spark: SparkSession, path: str, batch: int) -> DataFrame | None:
     return None if batch < 0 else spark.read.parquet(f"{path}/batch={batch}")
 
 
-def last_batch(spark: SparkSession, path: str) -> int:
-    """Number of the newest batch; -1 without any."""
+def batch_numbers(spark: SparkSession, path: str) -> list[int]:
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(folder):
-        return -1
+        return []
     names = [status.getPath().getName() for status in fs.listStatus(folder)]
-    return max((int(n.split("=")[1]) for n in names if n.startswith("batch=")), default=-1)
+    return [int(n.split("=")[1]) for n in names if n.startswith("batch=")]
+
+
+def last_batch(spark: SparkSession, path: str) -> int:
+    """Number of the newest batch; -1 without any."""
+    return max(batch_numbers(spark, path), default=-1)
 
 
 def keep_from(spark: SparkSession, path: str, number: int) -> None:
@@ -59,7 +69,8 @@ class ChangedRows:
     ``path/batch=n`` has the rows that batch n changed, ``path/full=n`` all rows after batch n.
     A batch writes in proportion to what it changes. Every ``compact`` batches the changes so far
     become one full version, and what is older goes, so at most about ``compact`` folders stay. A
-    batch that is run again finds the table as the batch before it left it.
+    batch that is run again finds the table as the batch before it left it. Batches that are handled
+    together put their changes once, under the number of the last.
     """
 
     def __init__(self, path: str, keys: list[str], schema: str, compact: int = 16):
@@ -103,7 +114,7 @@ class ChangedRows:
         spark = changed.sparkSession
         found = self._folders(spark)
         base = max((n for n in found["full"] if n < batch), default=-1)
-        if batch - base <= self.compact:
+        if sum(base < n <= batch for n in found["batch"]) <= self.compact:
             return
         # As of the batch before, which a repeated run of this batch starts from.
         self.at(spark, batch - 1).write.mode("overwrite").parquet(f"{self.path}/full={batch - 1}")

@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
+from __spark_entry__ import queries
 from sluiceway.session import shared_dir
+from sluiceway.streaming import channel_log
 from sluiceway.streaming.channel_log import LogReader, append_blocks, channel_log_read, take_blocks
-from sluiceway.streaming.tables import all_batches, put_batch
+from sluiceway.streaming.tables import all_batches, put_batch, put_batches
 
 SCHEMA = "seq long, ch int"
 
@@ -82,3 +85,68 @@ def test_a_micro_batch_opens_its_own_blocks_only(spark, log):
 
 def test_nothing_there(spark):
     assert take_blocks(spark, shared_dir(spark, "test-no-log"), 0, 10) == (None, 0)
+
+
+@pytest.mark.parametrize("bound", [1_000, 5])
+def test_rounds_have_the_micro_batches_of_single_steps(spark, log, monkeypatch, bound):
+    monkeypatch.setattr(channel_log, "MICRO_BATCH_BLOCKS", bound)
+    root, alone, rounds = shared_dir(spark, "test-log-rounds"), {}, []
+
+    def one(rows, number):
+        alone[number] = {(r.seq, r.ch, r.position, r.block) for r in rows.collect()}
+
+    def several(rows, numbers):
+        rounds.append((numbers, rows.collect()))
+
+    steps = LogReader(spark, log, SCHEMA, f"{root}/p", budget=15).drain(one)
+    assert LogReader(spark, log, SCHEMA, f"{root}/q", budget=15).drain(several, together=True) == steps >= 6
+    assert [n for numbers, _ in rounds for n in numbers] == list(range(steps))
+    assert len(rounds) == 1 or bound < 1_000
+    for numbers, rows in rounds:
+        for n in numbers:
+            got = [(r.seq, r.ch, r.position, r.block) for r in rows if r.number == n]
+            assert set(got) == alone[n] and len(got) == len(alone[n]) <= 15
+        assert {r.number for r in rows} == set(numbers)
+
+
+def test_a_failed_round_comes_again(spark):
+    root = shared_dir(spark, "test-log-round-retry")
+    path, seen = f"{root}/log", []
+    append_blocks(frame(spark, 0, 40), path, 0, ["seq"], block_rows=10)
+    reader = lambda: LogReader(spark, path, SCHEMA, f"{root}/p", budget=15)
+
+    def several(rows, numbers):
+        put_batches(rows, f"{root}/out", "number")
+        seen.append(numbers)
+        if len(seen) == 1:
+            raise RuntimeError("lost")
+
+    with pytest.raises(RuntimeError):
+        reader().drain(several, together=True)
+    append_blocks(frame(spark, 40, 90), path, 1, ["seq"], block_rows=10)  # must not change what the round has
+    # what is left of a round can be taken one by one, and a round can follow
+    assert reader().step(lambda rows, number: put_batch(rows, f"{root}/out", number))
+    reader().drain(several, together=True)
+    assert len(seen[0]) > 1 and list(seen[1]) == list(seen[0])[1:] and seen[2][0] == seen[0][-1] + 1
+    out = all_batches(spark, f"{root}/out", "seq long, batch int")
+    assert out.count() == 90 and out.select("seq").distinct().count() == 90
+    assert out.groupBy("batch").count().agg({"count": "max"}).first()[0] <= 15
+    assert reader().drain(several, together=True) == 0
+
+
+def test_the_query_takes_a_small_number_of_jobs(spark, small, tmp_path):
+    """Ten times the micro-batches must not take ten times the jobs."""
+    jobs = []
+    tracker = spark.sparkContext.statusTracker()
+    for times in (4, 40):
+        folder = tmp_path / str(times)
+        events = spark.read.parquet(f"{small}/events.parquet")
+        copies = spark.range(times).withColumnRenamed("id", "copy").crossJoin(events)
+        copies = copies.withColumn("event_id", F.col("event_id") + F.col("copy") * 1_000_000).drop("copy")
+        copies.coalesce(2).write.parquet(f"{folder}/events.parquet")
+        before = spark.sparkContext.parallelize([1], 1).count() and max(tracker.getJobIdsForGroup(None) or [0])
+        df = queries()["channel_log"](spark, str(folder))
+        got = df.agg(F.count("*"), F.countDistinct("event_id"), F.countDistinct("ch", "position")).first()
+        assert tuple(got) == (1_000 * times,) * 3
+        jobs.append(max(tracker.getJobIdsForGroup(None)) - before)
+    assert jobs[1] < 2 * jobs[0], jobs
